@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.llm import simhash
+from quillspark.llm import pii, simhash
 from quillspark.llm.common import table
 
 
@@ -10,6 +10,10 @@ def op1_simhash(spark, sf_dir):
     return simhash.components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_simhash": op1_simhash}
+def op2_pii(spark, sf_dir):
+    return pii.digest(pii.spans(table(spark, sf_dir, "documents")), pii.BASE)
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_pii": op2_pii}
 
 ORACLE: dict[str, str] = {}
