@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from quillspark.llm import pii, simhash
+import public_tokenizers
+
+from quillspark.llm import bpe, pii, simhash
 from quillspark.llm.common import table
 
 
@@ -14,6 +16,10 @@ def op2_pii(spark, sf_dir):
     return pii.digest(pii.spans(table(spark, sf_dir, "documents")), pii.BASE)
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_pii": op2_pii}
+def op6_bpe(spark, sf_dir):
+    return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_pii": op2_pii, "op6_bpe": op6_bpe}
 
 ORACLE: dict[str, str] = {}
