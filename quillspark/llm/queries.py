@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from quillspark.llm import bpe, pii, simhash
+from quillspark.llm import bpe, packing, pii, simhash
 from quillspark.llm.common import table
 
 
@@ -16,10 +16,14 @@ def op2_pii(spark, sf_dir):
     return pii.digest(pii.spans(table(spark, sf_dir, "documents")), pii.BASE)
 
 
+def op4_packing(spark, sf_dir):
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op6_bpe(spark, sf_dir):
     return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_pii": op2_pii, "op6_bpe": op6_bpe}
+QUERIES = {"op1_simhash": op1_simhash, "op2_pii": op2_pii, "op4_packing": op4_packing, "op6_bpe": op6_bpe}
 
 ORACLE: dict[str, str] = {}
