@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from quillspark.llm import bpe, packing, pii, simhash
+from quillspark.llm import bpe, packing, pii, quality, simhash
 from quillspark.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op6_bpe(spark, sf_dir):
     return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_pii": op2_pii, "op4_packing": op4_packing, "op6_bpe": op6_bpe}
+def op9_quality(spark, sf_dir):
+    return quality.rules(table(spark, sf_dir, "documents"))
 
-ORACLE: dict[str, str] = {}
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_pii": op2_pii, "op4_packing": op4_packing, "op6_bpe": op6_bpe, "op9_quality": op9_quality}
+
+ORACLE: dict[str, str] = {"op9_quality": quality.SQL}
