@@ -4,7 +4,6 @@ from array import array
 from collections import defaultdict
 
 import public_tokenizers as P
-import pytest
 from tokenizers import Tokenizer
 
 from quillspark.llm import packing
@@ -48,6 +47,16 @@ def test_query_on_documents(spark):
     assert check(rows) <= -(-total // 1024) + 1
 
 
+def test_ids_equal_the_library(monkeypatch):
+    rng, tok = random.Random(6), Tokenizer.from_file(PATH)
+    tok.encode_special_tokens = True
+    parts = ["'s", "'", " ", "  ", "\n", "a", "The", "é", "12", "!?", "<|endoftext|>", "中", "\t"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 50))) for _ in range(2000)] + [" " * 5000 + "x", "ab" * 5000]
+    for limit in (packing.LONG_TEXT, 0):
+        monkeypatch.setattr(packing, "LONG_TEXT", limit)
+        assert all(packing.encoder(PATH)(t).tolist() == tok.encode(t, add_special_tokens=False).ids for t in texts)
+
+
 def test_islands_migrate_and_merge(spark, monkeypatch):
     monkeypatch.setattr(packing, "ISLAND", 200)
     monkeypatch.setattr(packing, "FAN_IN", 3)
@@ -78,6 +87,3 @@ def test_edges(spark):
     assert sum(r.length for r in rows if r.doc_id == 4) == 3002 and check(rows) == 3
     assert packing.packed(odd.limit(0), PATH).count() == 0
     assert packing.packed(odd.limit(0), PATH).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-
-
-pytest.importorskip("tokenizers")
