@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, packing, pii, quality, simhash
+from quillspark.llm import ann, bpe, packing, pii, quality, simhash
 from quillspark.llm.common import table
 
 
@@ -20,6 +21,10 @@ def op4_packing(spark, sf_dir):
     return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_ann(spark, sf_dir):
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op6_bpe(spark, sf_dir):
     return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
@@ -28,6 +33,6 @@ def op9_quality(spark, sf_dir):
     return quality.rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_pii": op2_pii, "op4_packing": op4_packing, "op6_bpe": op6_bpe, "op9_quality": op9_quality}
+QUERIES = {"op1_simhash": op1_simhash, "op2_pii": op2_pii, "op4_packing": op4_packing, "op5_ann": op5_ann, "op6_bpe": op6_bpe, "op9_quality": op9_quality}
 
-ORACLE: dict[str, str] = {"op9_quality": quality.SQL}
+ORACLE: dict[str, str] = {"op5_ann": ann.SQL, "op9_quality": quality.SQL}
