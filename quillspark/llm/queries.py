@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quillspark.llm import ann, bpe, packing, pii, quality, simhash
+from quillspark.llm import ann, bpe, packing, pii, quality, secrets, simhash
 from quillspark.llm.common import table
 
 
@@ -29,10 +29,14 @@ def op6_bpe(spark, sf_dir):
     return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op8_secrets(spark, sf_dir):
+    return secrets.digest(secrets.spans(table(spark, sf_dir, "documents")))
+
+
 def op9_quality(spark, sf_dir):
     return quality.rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_pii": op2_pii, "op4_packing": op4_packing, "op5_ann": op5_ann, "op6_bpe": op6_bpe, "op9_quality": op9_quality}
+QUERIES = {"op1_simhash": op1_simhash, "op2_pii": op2_pii, "op4_packing": op4_packing, "op5_ann": op5_ann, "op6_bpe": op6_bpe, "op8_secrets": op8_secrets, "op9_quality": op9_quality}
 
 ORACLE: dict[str, str] = {"op5_ann": ann.SQL, "op9_quality": quality.SQL}
