@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quillspark.llm import ann, bpe, packing, pii, quality, secrets, simhash
+from quillspark.llm import ann, bpe, licenses, packing, pii, quality, secrets, simhash
 from quillspark.llm.common import table
 
 
@@ -37,6 +37,10 @@ def op9_quality(spark, sf_dir):
     return quality.rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_pii": op2_pii, "op4_packing": op4_packing, "op5_ann": op5_ann, "op6_bpe": op6_bpe, "op8_secrets": op8_secrets, "op9_quality": op9_quality}
+def op10_licenses(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_pii": op2_pii, "op4_packing": op4_packing, "op5_ann": op5_ann, "op6_bpe": op6_bpe, "op8_secrets": op8_secrets, "op9_quality": op9_quality, "op10_licenses": op10_licenses}
 
 ORACLE: dict[str, str] = {"op5_ann": ann.SQL, "op9_quality": quality.SQL}
