@@ -14,6 +14,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,18 +23,32 @@ from quillspark.llm import pretokens
 
 #: Pieces that a worker remembers; when there are more it starts afresh.
 CACHE = 400_000
+#: Texts that are encoded or decoded together.
+BATCH = 512
 #: Pieces longer than this many bytes are merged with a heap and not remembered.
 LONG = 64
+#: The rank of a pair that doesn't merge.
+NEVER = np.int32(2**31 - 1)
 
 
 class Vocabulary:
     """The tokens' bytes, the ids of single bytes, and the rank and result of every mergeable pair of ids."""
 
     def __init__(self, tokens: dict[int, bytes], pairs: dict[tuple[int, int], tuple[int, int]], whole: dict[bytes, int] | None):
-        self.tokens, self.pairs, self.whole, self.cache = tokens, pairs, whole, {}
+        self.tokens, self.pairs, self.whole = tokens, pairs, whole
+        # a piece's number, and by number where its ids start in the flat table and how many they are
+        self.cache, self.used = {}, 0
+        self.flat, self.counts, self.starts = np.empty(1024, dtype=np.int32), np.empty(1024, dtype=np.int64), np.empty(1024, dtype=np.int64)
         by_bytes = {b: i for i, b in tokens.items() if len(b) == 1}
         self.single = [by_bytes[bytes([b])] for b in range(256)]
-        self.bytes = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
+        self.bytes = pa.array([tokens.get(i, b"") for i in range(max(tokens) + 1)], type=pa.binary())
+        self.singles = np.array(self.single, dtype=np.int32)
+        keys = sorted(pairs)
+        self.keys = np.array([a << 20 | b for a, b in keys], dtype=np.int64)
+        self.ranks = np.array([pairs[k][0] for k in keys], dtype=np.int32)
+        self.made = np.array([pairs[k][1] for k in keys], dtype=np.int32)
+        every = np.arange(256)
+        self.byte_ranks = self.rank_of(self.singles[np.repeat(every, 256)], self.singles[np.tile(every, 256)]).reshape(256, 256).astype(np.int32)
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """The ids of one piece: the pair of lowest rank is merged, the leftmost of equals first, until none is left."""
@@ -76,28 +91,110 @@ class Vocabulary:
                     heapq.heappush(heap, (p[0], x, ids[x], ids[after[x]], p[1]))
         return tuple(x for x in ids if x >= 0)
 
-    def encode(self, pieces: list[str]) -> list[tuple[int, ...]]:
-        """The ids of each piece."""
-        cache = self.cache
-        out = list(map(cache.get, pieces))
-        if None in out:
-            for i, ids in enumerate(out):
-                if ids is None:
-                    piece = pieces[i]
-                    if (ids := cache.get(piece)) is None:
-                        ids = self.merge(raw := piece.encode())
-                        if len(raw) <= LONG:
-                            if len(cache) >= CACHE:
-                                cache.clear()
-                            cache[piece] = ids
-                    out[i] = ids
-        return out
-
-    def decode(self, ids) -> bytes:
-        """The bytes of ids; an id without a token is an error."""
-        if len(ids) and (min(ids) < 0 or max(ids) >= len(self.bytes)):
+    def remember(self, pieces: list[str]) -> None:
+        """Merge new pieces side by side and file their ids: in each round every piece merges its best pair.
+
+        Pieces of similar length share a matrix of ids and one of the ranks of neighbouring pairs.
+        """
+        raw = [p.encode() for p in pieces]
+        sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
+        blob, starts = np.frombuffer(b"".join(raw), dtype=np.uint8), np.cumsum(sizes) - sizes
+        width = -(-sizes // 4) * 4
+        width[sizes > LONG] = 0
+        if self.whole is not None:
+            known = np.fromiter((self.whole.get(r, -1) for r in raw), dtype=np.int64, count=len(raw))
+            width[known >= 0] = -1
+        for w in np.unique(width).tolist():
+            members = np.flatnonzero(width == w)
+            for at in range(0, len(members), 8192):
+                part = members[at : at + 8192]
+                if w == -1:
+                    ids, counts = known[part], np.ones(len(part), dtype=np.int64)
+                elif w == 0:
+                    merged = [self.merge(raw[n]) for n in part]
+                    ids, counts = np.fromiter(chain.from_iterable(merged), dtype=np.int64), np.fromiter(map(len, merged), dtype=np.int64)
+                else:
+                    counts, place = sizes[part], np.arange(w)
+                    rows = self._merge_rows(blob[np.minimum(starts[part, None] + place, len(blob) - 1)], counts)
+                    ids = rows[place < counts[:, None]]
+                self._file([pieces[n] for n in part], ids, counts)
+
+    def _file(self, pieces: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        """Give pieces the next numbers, and their ids the next places of the flat table."""
+        first, used = len(self.cache), self.used
+        while used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        while first + len(counts) > len(self.counts):
+            self.counts, self.starts = (np.concatenate([x, np.empty_like(x)]) for x in (self.counts, self.starts))
+        self.flat[used : used + len(ids)] = ids
+        self.counts[first : first + len(counts)] = counts
+        self.starts[first : first + len(counts)] = used + np.cumsum(counts) - counts
+        self.used = used + len(ids)
+        self.cache.update(zip(pieces, range(first, first + len(pieces))))
+
+    def _merge_rows(self, raw: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Ids of the rows of bytes, in place of the first ``sizes`` entries; ``sizes`` shrinks as pairs merge."""
+        width, place = raw.shape[1], np.arange(raw.shape[1])
+        all_ids = self.singles[raw]
+        ranks = self.byte_ranks[raw[:, :-1], raw[:, 1:]]
+        ranks[place[None, 1:] >= sizes[:, None]] = NEVER
+        rows, ids = np.arange(len(raw)), all_ids.copy()
+        while len(rows):
+            best = ranks.argmin(axis=1)
+            each = np.arange(len(rows))
+            live = ranks[each, best] < NEVER
+            if not live.all():
+                all_ids[rows[~live]] = ids[~live]
+                rows, ids, ranks, best = rows[live], ids[live], ranks[live], best[live]
+                each = each[: len(rows)]
+                if not len(rows):
+                    break
+            made = self.made_of(ids[each, best], ids[each, best + 1])
+            ids = np.take_along_axis(ids, np.minimum(place + (place > best[:, None]), width - 1), axis=1)
+            ids[each, best] = made
+            sizes[rows] -= 1
+            ranks = np.take_along_axis(ranks, np.minimum(place[:-1] + (place[:-1] > best[:, None]), width - 2), axis=1)
+            ranks[:, -1] = NEVER
+            now = sizes[rows]
+            right = best + 1 < now
+            ranks[each[~right], np.minimum(best[~right], width - 2)] = NEVER
+            ranks[each[right], best[right]] = self.rank_of(ids[each[right], best[right]], ids[each[right], best[right] + 1])
+            left = best > 0
+            ranks[each[left], best[left] - 1] = self.rank_of(ids[each[left], best[left] - 1], ids[each[left], best[left]])
+        return all_ids
+
+    def _at(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        key = a.astype(np.int64) << 20 | b
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return at, self.keys[at] == key
+
+    def rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        at, known = self._at(a, b)
+        return np.where(known, self.ranks[at], NEVER)
+
+    def made_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return self.made[self._at(a, b)[0]]
+
+    def encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, counts): the ids of all pieces in order, and how many each has. Pieces not remembered are merged together."""
+        if len(self.cache) > CACHE or self.used > 16 * CACHE:
+            self.cache, self.used, self.flat, self.counts, self.starts = {}, 0, self.flat[:1024], self.counts[:1024], self.starts[:1024]
+        numbers = list(map(self.cache.get, pieces))
+        if None in numbers:
+            missing = [i for i, n in enumerate(numbers) if n is None]
+            self.remember(list({pieces[i] for i in missing}))
+            for i in missing:
+                numbers[i] = self.cache[pieces[i]]
+        numbers = np.array(numbers, dtype=np.int64)
+        counts = self.counts[numbers]
+        ends = np.cumsum(counts)
+        return self.flat[np.repeat(self.starts[numbers] - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)], counts
+
+    def decode(self, ids: pa.Array) -> pa.Array:
+        """The bytes of each id; an id without a token is an error."""
+        if len(ids) and (pc.min(ids).as_py() < 0 or pc.max(ids).as_py() >= len(self.bytes)):
             raise ValueError("an id is not in the vocabulary")
-        return b"".join(map(self.bytes.__getitem__, ids))
+        return self.bytes.take(ids)
 
 
 @lru_cache(4)
@@ -131,9 +228,12 @@ def from_json(path: str) -> Vocabulary:
 
 
 def encoded(texts: list[str], vocabulary: Vocabulary):
-    """For each text its pieces and the ids of each."""
-    for pieces in pretokens.pieces(texts):
-        yield pieces, vocabulary.encode(pieces)
+    """For each text its pieces, all their ids, and how many each piece has."""
+    pieces = list(pretokens.pieces(texts))
+    ids, counts = vocabulary.encode(list(chain.from_iterable(pieces)))
+    piece_ends = np.cumsum([0, *map(len, pieces)])
+    id_ends = np.concatenate([[0], np.cumsum(counts)])[piece_ends]
+    return [(p, ids[a:b], counts[c:d]) for p, a, b, c, d in zip(pieces, id_ends, id_ends[1:], piece_ends, piece_ends[1:])]
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", offsets: bool = True) -> DataFrame:
@@ -146,21 +246,20 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     fields = [docs.schema[id_col], *(T.StructField(n, T.ArrayType(T.IntegerType())) for n in (["ids", "offsets", "counts"] if offsets else ["ids"]))]
     schema, ints = T.StructType(fields), pa.list_(pa.int32())
 
-    def arrays(lists, sizes):
-        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.fromiter(lists, dtype=np.int32, count=int(ends[-1]))))
+    def lists(parts):
+        ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *parts]).astype(np.int32))).cast(ints)
 
     def run(batches):
         vocabulary = from_ranks(path)
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                b = whole.slice(at, 512)
-                found = list(encoded([t or "" for t in b.column(1).to_pylist()], vocabulary))
-                columns = [arrays(chain.from_iterable(chain.from_iterable(ids for _, ids in found)), [sum(map(len, ids)) for _, ids in found])]
+            for at in range(0, whole.num_rows, BATCH):
+                b = whole.slice(at, BATCH)
+                found = encoded([t or "" for t in b.column(1).to_pylist()], vocabulary)
+                columns = [lists([ids for _, ids, _ in found])]
                 if offsets:
-                    starts = [np.cumsum([0, *map(len, p)])[:-1] if p else np.zeros(0, int) for p, _ in found]
-                    columns += [arrays(chain.from_iterable(starts), [len(p) for p, _ in found]), arrays((len(i) for _, ids in found for i in ids), [len(p) for p, _ in found])]
-                yield pa.RecordBatch.from_arrays([b.column(0), *(c.cast(ints) for c in columns)], names=[f.name for f in fields])
+                    columns += [lists([np.cumsum([0, *map(len, p)])[:-1] for p, _, _ in found]), lists([n for _, _, n in found])]
+                yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=[f.name for f in fields])
 
     return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, schema)
 
@@ -173,12 +272,14 @@ def decode(tokens: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
     def run(batches):
         vocabulary = from_ranks(path)
         for whole in batches:
-            for start in range(0, whole.num_rows, 512):
-                b = whole.slice(start, 512)
+            for start in range(0, whole.num_rows, BATCH):
+                b = whole.slice(start, BATCH)
                 column = b.column(at)
-                ends, values = column.offsets.to_numpy(), column.values.to_pylist()
-                decoded = [vocabulary.decode(values[a:e]) for a, e in zip(ends, ends[1:])]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(decoded, type=pa.binary())], names=[f.name for f in schema])
+                ends = column.offsets.to_numpy()
+                found = vocabulary.decode(column.values.slice(ends[0], ends[-1] - ends[0]))
+                text_ends = np.frombuffer(found.buffers()[1], dtype=np.int32)[ends - ends[0]] if len(found) else np.zeros(len(ends), np.int32)
+                decoded = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.array(text_ends).buffers()[1], found.buffers()[2]])
+                yield pa.RecordBatch.from_arrays([*b.columns, decoded], names=[f.name for f in schema])
 
     return tokens.mapInArrow(run, schema)
 

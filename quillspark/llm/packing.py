@@ -12,7 +12,6 @@ from __future__ import annotations
 import random
 import zlib
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -162,8 +161,7 @@ def encoder(path: str):
     def ids(text: str) -> np.ndarray:
         if len(text) <= LONG_TEXT:
             return fast.encode_to_numpy(text, disallowed_special=())
-        (_, found), = bpe.encoded([text], own)
-        return np.fromiter(chain.from_iterable(found), dtype="<u4")
+        return bpe.encoded([text], own)[0][1].astype("<u4")
 
     return ids
 
