@@ -197,4 +197,5 @@ def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declar
     """``docs`` without the rejected rows; rows that are alike in id and text are judged alike."""
     keyed = docs.withColumn("_text", F.xxhash64(text_or_empty(text_col)))
     bad = identify(keyed, [id_col, "_text"], text_col, declared, host).where("NOT kept").select(F.col(id_col).alias("_bad"), F.col("_text").alias("_bad_text")).distinct()
+    bad, _ = materialize(bad, "rejected")
     return keyed.join(bad, keyed[id_col].eqNullSafe(bad["_bad"]) & (keyed["_text"] == bad["_bad_text"]), "left_anti").select(docs.columns)

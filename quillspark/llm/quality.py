@@ -112,11 +112,12 @@ def rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", chars_col: str | None = "n_chars") -> DataFrame:
     """``docs`` without the rejected rows and without the lines that are too frequent in their host."""
-    found = verdicts(docs, id_col, text_col, host_col)
-    judged = found.where("kept").select(F.col("_id").alias("k_id"), F.col("_text").alias("k_text"), F.col("_host").alias("k_host"), "removed")
+    found = verdicts(docs, id_col, text_col, host_col).where("NOT kept OR removed IS NOT NULL")
+    # only the rows that go or change are joined: the documents move in a shuffle only if these are many
+    judged, _ = materialize(found.select(F.col("_id").alias("k_id"), F.col("_text").alias("k_text"), F.col("_host").alias("k_host"), F.col("kept").alias("k_kept"), "removed"), "judged")
     keyed = docs.withColumn("_text", F.xxhash64(text_or_empty(text_col)))
     on = keyed[id_col].eqNullSafe(judged["k_id"]) & (keyed["_text"] == judged["k_text"]) & keyed[host_col].cast("string").eqNullSafe(judged["k_host"])
-    kept = keyed.join(judged, on)
+    kept = keyed.join(judged, on, "left").where("k_kept IS NULL OR k_kept")
     rest = F.array_join(F.filter(F.split(text_col, "\n"), lambda x: ~(x.rlike(f"[^{SPACES}]") & F.array_contains("removed", line_hash(x)))), "\n")
     kept = kept.withColumn(text_col, F.when(F.col("removed").isNull(), F.col(text_col)).otherwise(rest))
     if chars_col in docs.columns:

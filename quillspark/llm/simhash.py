@@ -63,16 +63,16 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42, words: int =
     return np.packbits(counts * 2 > n, axis=1, bitorder="little").view("<i8").ravel().tolist()
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, words: int = 1) -> DataFrame:
-    """(id_col, f0, f1, ...): one row for each row of ``docs``, with its fingerprint words."""
-    schema = T.StructType([docs.schema[id_col], *(T.StructField(f"f{w}", T.LongType()) for w in range(words))])
+def fingerprints(docs: DataFrame, keys: list[str], text_col: str = "text", shingle: int = 3, seed: int = 42, words: int = 1) -> DataFrame:
+    """(keys, f0, f1, ...): one row for each row of ``docs``, with its fingerprint words."""
+    schema, n = T.StructType([*(docs.schema[k] for k in keys), *(T.StructField(f"f{w}", T.LongType()) for w in range(words))]), len(keys)
 
     def run(batches):
         for b in batches:
-            found = np.array([fingerprint(t.as_py(), shingle, seed, words) for t in b.column(1)], dtype=np.int64).reshape(-1, words)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(found[:, w]) for w in range(words))], names=[f.name for f in schema])
+            found = np.array([fingerprint(t.as_py(), shingle, seed, words) for t in b.column(n)], dtype=np.int64).reshape(-1, words)
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], *(pa.array(found[:, w]) for w in range(words))], names=[f.name for f in schema])
 
-    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return docs.select(*keys, F.col(text_col).cast("string").alias("_t")).mapInArrow(run, schema)
 
 
 def _ball(bits: int = 32) -> list[int]:
@@ -115,7 +115,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     have fingerprint zero and link like any other. Repeated ids give repeated rows; a null id has a row but
     never names a component (a component of null ids alone has component_id null). Other columns are ignored.
     """
-    prints, _ = materialize(fingerprints(docs, id_col, text_col, shingle, seed), "simhash")
+    prints, _ = materialize(fingerprints(docs, [id_col], text_col, shingle, seed), "simhash")
     classes = prints.groupBy("f0").agg(F.min(id_col).alias("rep"))
     linked = connected_components(link_exact(classes))
     roots = linked.join(classes, linked["node"] == classes["f0"], "inner").select("node", "component", "rep")
@@ -131,27 +131,38 @@ def bits_for(similarity: float, bits: int) -> int:
     return round(math.acos(2 * similarity / (1 + similarity)) / math.pi * bits)
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, words: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, component_id): groups of near-duplicates by shingles of five words and a similarity of 0.8 or more.
+def groups(docs: DataFrame, keys: list[str], text_col: str = "text", shingle: int = 5, similarity: float = 0.8, words: int = 4, seed: int = 42) -> DataFrame:
+    """(keys, component_id): groups of near-duplicates by shingles of five words and a similarity of 0.8 or more.
 
-    The similarity is read from fingerprints of ``64 * words`` bits, whose share of differing bits is the
-    angle between the shingle sets over pi. component_id is the smallest id of the group; a null id has a row with component_id null.
+    The similarity is read from fingerprints of ``64 * words`` bits, whose share of differing bits is the angle between
+    the shingle sets over pi. component_id is the smallest first key of the group (a long); rows whose first key is null are left out.
     """
     names = [f"f{w}" for w in range(words)]
-    prints, _ = materialize(fingerprints(docs.where(F.col(id_col).isNotNull()), id_col, text_col, shingle, seed, words), "simhash")
-    classes, _ = materialize(prints.groupBy(*names).agg(F.min(id_col).cast("long").alias("rep")), "classes")
-    linked = connected_components(link_wide(classes, names, bits_for(similarity, 64 * words)))
-    by_class = classes.join(linked, classes["rep"] == linked["node"], "left").select(*names, F.coalesce("component", "rep").alias("component_id"))
-    found = prints.join(by_class, names).select(id_col, "component_id")
-    return found.unionByName(docs.where(F.col(id_col).isNull()).select(id_col, F.lit(None).cast("long").alias("component_id")))
+    prints, _ = materialize(fingerprints(docs.where(F.col(keys[0]).isNotNull()), keys, text_col, shingle, seed, words), "simhash")
+    classes, _ = materialize(prints.groupBy(*names).agg(F.min(keys[0]).cast("long").alias("rep")), "classes")
+    # different texts may repeat an id: their classes then share a node, and are told apart by their own number
+    classes, _ = materialize(classes.withColumn("number", F.monotonically_increasing_id()), "classes")
+    linked = connected_components(link_wide(classes, names, bits_for(similarity, 64 * words), "number"))
+    joined = classes.join(linked, classes["number"] == linked["node"], "left").select(*names, "rep", F.coalesce("component", "number").alias("component"))
+    least = joined.groupBy("component").agg(F.min("rep").alias("component_id"))
+    by_class = joined.join(least, "component").select(*names, "component", "component_id")
+    return prints.join(by_class, names).select(*keys, "component", "component_id")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one row of each group: the row with the smallest id. Rows that repeat an id are one row; null ids all stay."""
-    keep = groups(docs, id_col, text_col, **options).where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    first = docs.where(F.col(id_col).isNotNull()).join(keep, id_col, "left_semi")
-    repeated = first.groupBy(id_col).count().where("count > 1").select(id_col)
-    single = first.join(repeated, id_col, "left_anti")
-    others = [c for c in docs.columns if c != id_col]
-    merged = first.join(repeated, id_col, "left_semi").groupBy(id_col).agg(F.min(F.struct(*others)).alias("row")).select(id_col, "row.*") if others else repeated
-    return single.select(docs.columns).unionByName(merged.select(docs.columns)).unionByName(docs.where(F.col(id_col).isNull()))
+    """``docs`` with one row of each group: the one with the smallest id (and then text hash). Rows alike in id and text are one row.
+
+    Rows with a null id all stay. Only the keys of rows that go are joined with the documents, so that they move in a shuffle only if these keys are many.
+    """
+    keyed = docs.withColumn("_text", F.xxhash64(F.col(text_col).cast("string")))
+    found, _ = materialize(groups(keyed, [id_col, "_text"], text_col, **options), "groups")
+    keys = found.groupBy("component", id_col, "_text").count()
+    first = keys.groupBy("component").agg(F.min(F.struct(id_col, "_text")).alias("f"))
+    told = keys.join(first, "component")
+    stays = (F.col(id_col) == F.col(f"f.{id_col}")) & (F.col("_text") == F.col("f._text"))
+    gone, _ = materialize(told.where(~stays | (F.col("count") > 1)).select(F.col(id_col).alias("_g"), F.col("_text").alias("_gt")).distinct(), "gone")
+    repeated, _ = materialize(told.where(stays & (F.col("count") > 1)).select(F.col(id_col).alias("_g"), F.col("_text").alias("_gt")), "repeated")
+    on = lambda other: (F.col(id_col) == F.col("_g")) & (F.col("_text") == F.col("_gt"))
+    single = keyed.join(gone, on(gone), "left_anti")
+    merged = keyed.join(repeated, on(repeated), "left_semi").dropDuplicates([id_col, "_text"])
+    return single.unionByName(merged).select(docs.columns)

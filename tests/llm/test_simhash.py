@@ -82,8 +82,12 @@ def test_groups_find_near_copies(spark):
             truth[len(rows)] = g
             rows.append((len(rows), " ".join(copy), "s"))
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    found = {r.doc_id: r.component_id for r in simhash.groups(docs).collect()}
+    found = {r.doc_id: r.component_id for r in simhash.groups(docs, ["doc_id"]).collect()}
     assert found == {d: 3 * g for d, g in truth.items()}
     kept = simhash.deduplicate(docs.unionByName(docs.limit(1)))
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 120, 3))
+    odd = spark.createDataFrame([(None, rows[0][1], "s"), (None, None, "s"), (5, rows[9][1], "a"), (5, rows[30][1], "b"), (5, rows[30][1], "b"), (5, None, "c")], docs.schema)
+    kept = simhash.deduplicate(docs.unionByName(odd))
+    assert sorted((r.doc_id or -1, len(r.text or "") > 0) for r in kept.collect() if r.doc_id in (None, 5, 9, 30)) == [(-1, False), (-1, True), (5, False), (5, True), (5, True)]
+    assert simhash.deduplicate(docs.limit(0)).count() == 0
