@@ -81,6 +81,54 @@ def _of(bins: list[list[int]], lengths, capacity: int) -> Packing:
     return p
 
 
+def exact_fill(lengths: list[int], capacity: int, descending: list[int]) -> Packing:
+    """A packing that opens each bin with the largest item left and looks for one, two or three items that fill it exactly.
+
+    Of two items it takes the most alike, so that small ones stay for later bins; where nothing fits exactly, the largest that fits.
+    """
+    by_length: list[list[int]] = [[] for _ in range(capacity + 1)]
+    for i in descending:
+        by_length[lengths[i]].append(i)
+    there = np.array([bool(b) for b in by_length])
+    out, size = Packing(capacity), capacity
+
+    def take(n: int) -> int:
+        i = by_length[n].pop()
+        there[n] = bool(by_length[n])
+        return i
+
+    def two(free: int) -> tuple[int, int] | None:
+        half = np.flatnonzero(there[1 : free // 2 + 1] & there[free - 1 : free - free // 2 - 1 : -1]) + 1 if free > 1 else ()
+        if len(half) and 2 * half[-1] == free and len(by_length[half[-1]]) < 2:
+            half = half[:-1]
+        return (int(half[-1]), free - int(half[-1])) if len(half) else None
+
+    while size > 0:
+        while size > 0 and not by_length[size]:
+            size -= 1
+        if not size:
+            break
+        items, free = [take(size)], capacity - size
+        while free > 0:
+            if by_length[free]:
+                items.append(take(free))
+                free = 0
+            elif pair := two(free):
+                items += [take(n) for n in pair]
+                free = 0
+            else:
+                fitting = np.flatnonzero(there[1:free]) + 1
+                if not len(fitting):
+                    break
+                best = next((n for n in fitting[:-9:-1].tolist() if (p := two(free - n)) and n not in p), int(fitting[-1]))
+                items.append(take(best))
+                free -= best
+        out.add(items, capacity - free)
+    if by_length[0]:
+        out.place(by_length[0], lengths)
+    return out
+
+
 def crossover(one: Packing, other: Packing, lengths, descending: list[int], rng: random.Random) -> Packing:
     """A child with a random half of ``one``'s well-filled bins whole, ``other``'s bins without duplicates, and the rest by best fit."""
     capacity, child = one.capacity, Packing(one.capacity)
@@ -128,6 +176,8 @@ def evolve(lengths: list[int], capacity: int, elite: list[list[int]] | None = No
     greedy = Packing(capacity)
     greedy.place(descending, lengths)
     people = [greedy]
+    if len(greedy.bins) > least:
+        people.append(exact_fill(lengths, capacity, descending))
     if elite:
         people.append(_of(elite, lengths, capacity))
     if migrants and min(len(p.bins) for p in people) > least:
