@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as tx
-from quillspark.operators import chunking, evaluate, recall, scoring
+from quillspark.operators import chunking, classify, evaluate, recall, scoring
+from quillspark.plans import retrieve
 from quillspark.sources import files, store
 from quillspark.streaming import telemetry
 
@@ -576,3 +577,22 @@ def coalesced_elements(spark, sf_dir):
 @query()
 def hash_embedding(spark, sf_dir):
     return store.embed_hashed(read(spark, sf_dir, "benchmark"), "text", 16)
+
+
+@query()
+def chunk_types(spark, sf_dir):
+    """Type and quality flags of every conversation turn."""
+    return classify.classified(read(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "text").drop("text")
+
+
+@query()
+def query_analysis(spark, sf_dir):
+    return classify.analyzed(read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")))
+
+
+@query()
+def retrieve_end_to_end(spark, sf_dir):
+    """Every benchmark item as a query against all documents."""
+    queries = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    fragments = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("fragment_id"), "source", "text")
+    return retrieve.retrieve(queries, fragments)
