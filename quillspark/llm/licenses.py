@@ -5,7 +5,7 @@ the templates below with words dropped, swapped and added, against ordinary sent
 constant. Its temperature is fitted on variants that the training did not see. Weights are multiples of 2**-10, so that sums don't depend on
 their order. A paragraph is scored by joining its n-grams with the weights (a broadcast table of fixed size);
 a paragraph without any anchor word is no notice by definition. The most likely family must be confirmed by its templates'
-word pairs; a notice that isn't, or that no family is likely enough for, is ``unknown``.
+word pairs, with an n-gram among them that no other family's templates have; a notice that isn't, or that no family is likely enough for, is ``unknown``.
 """
 
 from __future__ import annotations
@@ -110,12 +110,15 @@ def model() -> tuple[list[str], np.ndarray, np.ndarray, float]:
 
 
 def _weights(spark) -> DataFrame:
-    """gram, one weight for each class, and whether each family's templates hold the pair: at most a few thousand rows, whatever the data."""
+    """gram, one weight for each class, whether each family's templates hold the pair, and the number of the only family that has the n-gram (else null).
+
+    At most a few thousand rows, whatever the data."""
     vocabulary, weights, _, _ = model()
-    held = [{g for t in TEMPLATES[f] for g in grams(t) if " " in g} for f in FAMILIES]
-    values = [(g, [float(w) for w in weights[i]], [int(g in h) for h in held]) for i, g in enumerate(vocabulary)]
-    quoted = ", ".join(f"('{g}', array({', '.join(f'{w}D' for w in ws)}), array({', '.join(map(str, hs))}))" for g, ws, hs in values)
-    return spark.sql(f"SELECT * FROM VALUES {quoted} AS t(gram, w, h)")
+    held = [{g for t in TEMPLATES[f] for g in grams(t)} for f in FAMILIES]
+    owners = {g: [c for c, h in enumerate(held) if g in h] for g in vocabulary}
+    values = [(g, [float(w) for w in weights[i]], [int(" " in g and g in h) for h in held], owners[g][0] if len(owners[g]) == 1 else "CAST(NULL AS INT)") for i, g in enumerate(vocabulary)]
+    quoted = ", ".join(f"('{g}', array({', '.join(f'{w}D' for w in ws)}), array({', '.join(map(str, hs))}), {own})" for g, ws, hs, own in values)
+    return spark.sql(f"SELECT * FROM VALUES {quoted} AS t(gram, w, h, own)")
 
 
 def _grams(paragraph: Column) -> Column:
@@ -136,6 +139,7 @@ def notices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # anchors may be spelt in other scripts' cases: such a paragraph has no words and so no n-grams
     each = each.withColumn("pairs", F.size(F.filter("grams", lambda g: g.contains(" ")))).select("uid", "paragraph", "pairs", F.explode("grams").alias("gram"))
     sums = [F.sum(F.get("w", F.lit(c))).alias(f"w{c}") for c in range(len(bias))] + [F.sum(F.get("h", F.lit(c))).alias(f"h{c}") for c in range(len(FAMILIES))]
+    sums.append(F.collect_set("own").alias("owners"))  # a dozen numbers at most
     scored = each.join(F.broadcast(_weights(spark)), "gram").groupBy("uid", "paragraph", "pairs").agg(*sums)
     logits = [(F.col(f"w{c}") + F.lit(float(b))) * sharp for c, b in enumerate(bias)]
     top = F.greatest(*logits[:-1])
@@ -143,7 +147,8 @@ def notices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     best = F.coalesce(*(F.when(z == top, F.lit(f)) for f, z in zip(FAMILIES, logits)))
     shortest = {f: min(len([g for g in grams(t) if " " in g]) for t in TEMPLATES[f]) for f in FAMILIES}
     match = F.coalesce(*(F.when(z == top, F.greatest(F.col(f"h{c}") / F.greatest(F.col("pairs"), F.lit(1)), F.least(F.col(f"h{c}") / F.lit(shortest[f]), F.lit(1.0)))) for c, (f, z) in enumerate(zip(FAMILIES, logits))))
-    out = scored.select("uid", "paragraph", best.alias("best"), F.round(F.exp(top - F.greatest(*logits)) / total, 6).alias("probability"), F.round(F.exp(logits[-1] - F.greatest(*logits)) / total, 6).alias("none"), (match >= CONFIRMED).alias("confirmed"))
+    own = F.array_contains("owners", F.coalesce(*(F.when(z == top, F.lit(c)) for c, z in enumerate(logits[:-1]))))
+    out = scored.select("uid", "paragraph", best.alias("best"), F.round(F.exp(top - F.greatest(*logits)) / total, 6).alias("probability"), F.round(F.exp(logits[-1] - F.greatest(*logits)) / total, 6).alias("none"), ((match >= CONFIRMED) & own).alias("confirmed"))
     out = out.where(f"none < {LIKELY}")
     family = F.when((F.col("probability") >= LIKELY) & F.col("confirmed"), F.col("best")).otherwise("unknown")
     return rows.select("_id", "uid"), out.select("uid", "paragraph", family.alias("family"), "probability", "confirmed")
