@@ -37,9 +37,18 @@ def summary(results: DataFrame, by: str | None = None) -> DataFrame:
 
 
 def matches_evidence(fragments: Column, pages: Column, terms: Column) -> Column:
-    """Whether one fragment is on an expected page and has all expected terms (no pages or no terms: any)."""
+    """Whether one fragment is on an expected page and has all expected terms (no pages or no terms: any; neither: no evidence)."""
     right_page = lambda f: (F.size(pages) == 0) | F.coalesce(F.array_contains(pages, f["page"]), F.lit(False))
-    return F.exists(fragments, lambda f: right_page(f) & F.forall(terms, lambda t: F.contains(F.lower(f["text"]), F.lower(t))))
+    asked = (F.size(pages) > 0) | (F.size(terms) > 0)
+    return asked & F.exists(fragments, lambda f: right_page(f) & F.forall(terms, lambda t: F.contains(F.lower(f["text"]), F.lower(t))))
+
+
+def evidence_metrics(hits: DataFrame, k: int) -> DataFrame:
+    """(query_id, recall, ndcg, mrr, top1_source) at k from ranked hits with evidence and right_source (booleans): the first evidence counts."""
+    first = F.min(F.when(F.col("evidence") & (F.col("rank") <= k), F.col("rank")))
+    told = hits.groupBy("query_id").agg(first.alias("first"), F.coalesce(F.bool_or(F.col("right_source") & (F.col("rank") == 1)), F.lit(False)).alias("top1_source"))
+    zero = lambda x: F.coalesce(x, F.lit(0.0))
+    return told.select("query_id", F.col("first").isNotNull().cast("double").alias("recall"), zero(1 / F.log2(F.col("first") + 1.0)).alias("ndcg"), zero(1.0 / F.col("first")).alias("mrr"), "top1_source")
 
 
 def nearest_rank(column: str, p: float) -> Column:

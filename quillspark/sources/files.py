@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EXTENSIONS = ("txt", "md", "pdf", "doc", "docx", "ppt", "pptx", "xls", "xlsx", "png", "jpg", "jpeg")
@@ -22,12 +22,17 @@ def scan(spark: SparkSession, root: str, max_files: int = 10_000, max_bytes: int
     return files.select("path", "extension", "length", "content")
 
 
-def text_elements(files: DataFrame) -> DataFrame:
-    """One text element for each text or markdown file; line ends and spaces normalised, empty files left out."""
-    text = F.decode("content", "utf-8")
-    for pattern, by in ((r"\r\n?", "\n"), (r"[ \t]+", " "), (r"\n ", "\n"), (r"\n{3,}", "\n\n")):
+def normalized_text(text: Column) -> Column:
+    """Line ends and spaces normalised, no more than one empty line, nothing at either end."""
+    for pattern, by in ((r"\r\n?", "\n"), (r"[ \t]+", " "), (r"\n ", "\n"), (r"\n{3,}", "\n\n"), (r"^\s+|\s+$", "")):
         text = F.regexp_replace(text, pattern, by)
-    return files.where("extension IN ('txt', 'md')").select(F.col("path").alias("source"), F.lit(0).alias("element_index"), F.lit("text").alias("type"), F.trim(text).alias("content"), F.lit(None).cast("int").alias("page")).where("content <> ''")
+    return text
+
+
+def text_elements(files: DataFrame) -> DataFrame:
+    """One text element for each text or markdown file, normalised; empty files left out."""
+    text = normalized_text(F.decode("content", "utf-8"))
+    return files.where("extension IN ('txt', 'md')").select(F.col("path").alias("source"), F.lit(0).alias("element_index"), F.lit("text").alias("type"), text.alias("content"), F.lit(None).cast("int").alias("page")).where("content <> ''")
 
 
 def path_metadata(files: DataFrame, root: str) -> DataFrame:
@@ -53,6 +58,42 @@ def ocr_sample(pages: int, sample: int) -> list[int]:
     return sorted({round(i * (pages - 1) / (sample - 1)) for i in range(sample)}) if sample > 1 else [0]
 
 
+def sampled_pages(pages: Column, sample: int) -> Column:
+    """``ocr_sample`` as an expression."""
+    n = F.least(pages, F.lit(sample))
+    each = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.coalesce(F.bround(F.try_divide(i * (pages - 1), n - 1)), F.lit(0)).cast("int"))
+    return F.when(pages > 0, F.array_sort(F.array_distinct(each))).otherwise(F.array().cast("array<int>"))
+
+
+def preferred_artifacts(files: DataFrame, by: str) -> DataFrame:
+    """(by, path, content): of each parser's output the first JSON file that parses, else the first other text that isn't empty."""
+    text = F.decode("content", "utf-8")
+    usable = files.withColumn("text", text).withColumn("order", F.when((F.col("extension") == "json") & F.try_parse_json("text").isNotNull(), 0).when(F.col("extension").isin("md", "txt") & (F.trim("text") != ""), 1))
+    # only places are compared; the texts are fetched for the chosen files
+    chosen = usable.where("order IS NOT NULL").groupBy(by).agg(F.min(F.struct("order", "path")).alias("first"))
+    return chosen.select(by, F.col("first.path").alias("path")).join(usable.select("path", F.col("text").alias("content")), "path").select(by, "path", "content")
+
+
+def evaluation_set(spark: SparkSession, path: str) -> DataFrame:
+    """Items of an evaluation from JSON files with an array of objects."""
+    kind = "query string, category string, expected_source string, expected_pages array<int>, expected_terms array<string>, relevant_fragment_ids array<string>, is_negative boolean"
+    return spark.read.schema(kind).option("multiLine", True).json(path).withColumn("is_negative", F.coalesce("is_negative", F.lit(False)))
+
+
+def subject_hints(spark: SparkSession, path: str, defaults: dict[str, list[str]]) -> DataFrame:
+    """(subject, hint): the defaults, each subject replaced by its list in the file if it has one (``subject:`` and ``- hint`` lines)."""
+    held, subject = dict(defaults), None
+    for (line,) in spark.read.text(path).select(F.trim("value")).collect() if path else ():  # a file of settings
+        if line.startswith("#") or not line:
+            continue
+        if line.startswith("- ") and subject:
+            held[subject].append(line[2:].strip().strip("\"'"))
+        elif line.endswith(":"):
+            subject = line[:-1].strip()
+            held[subject] = []
+    return spark.createDataFrame([(s, h) for s, hints in held.items() for h in hints], "subject string, hint string")
+
+
 def needs_ocr(pages: DataFrame, by: str, text: str, least: int = 80) -> DataFrame:
     """(by, pages, text_pages, chars, needs_ocr): unless half of the pages have text, and enough of it on average."""
     size = F.length(F.trim(text))
