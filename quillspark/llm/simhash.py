@@ -121,7 +121,8 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     roots = linked.join(classes, linked["node"] == classes["f0"], "inner").select("node", "component", "rep")
     named = roots.groupBy("component").agg(F.min("rep").alias("least"))
     member = roots.join(named, "component").select(F.col("node").alias("f0"), "least")
-    by_class = classes.join(member, "f0", "left").select("f0", F.coalesce("least", "rep").alias("component_id"))
+    # written, so that the last join deals out both sides itself and a class with very many copies can be split
+    by_class, _ = materialize(classes.join(member, "f0", "left").select("f0", F.coalesce("least", "rep").alias("component_id")), "members")
     out = prints.join(by_class, "f0")
     return out.select(F.col(id_col), F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
