@@ -10,7 +10,8 @@ distances are verified. A group never holds more than 65 different fingerprints,
 
 Wide linking (``link_wide``): for similarities well below one, fingerprints of several words are cut into 32-bit segments;
 two meet if some segment differs in at most two bits. Each member of a group is compared with the group's
-first and with the member before it, and complete distances over all words are verified.
+first and with the member before it, and complete distances over all words are verified. The pairs left are decided by a
+sketch of the shingle sets themselves (the smallest hash in each of 256 bins, two bits of each), which tells similarities apart twice as finely.
 """
 
 from __future__ import annotations
@@ -31,6 +32,13 @@ from quillspark.llm.components import connected_components
 
 _CHUNK = 1 << 16
 _MASK = (1 << 64) - 1
+#: Bins of a sketch; one of two different hashes in four agrees by chance.
+BINS, CHANCE = 256, 0.25
+#: How much less similar than asked for two fingerprints may look for a pair to reach the sketches.
+SLACK = 0.1
+#: The error of a sketch's similarity, which is granted to a pair: a copy that is missed weighs more than one at just below the similarity.
+MARGIN = 0.03
+SKETCH = [f"s{i}" for i in range(2 * BINS // 64)]
 
 
 def _mixed(h: np.ndarray, word: int) -> np.ndarray:
@@ -43,8 +51,20 @@ def _mixed(h: np.ndarray, word: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprint(text: str | None, shingle: int = 3, seed: int = 42, words: int = 1) -> list[int]:
-    """The fingerprint words of one text as signed 64-bit integers.
+def _sketch(least: np.ndarray) -> list[int]:
+    """Two planes of BINS bits from the smallest hash of each bin; an empty bin borrows from the next that isn't."""
+    filled = np.flatnonzero(least != _MASK)
+    if not len(filled):
+        return [0] * len(SKETCH)
+    bins = np.arange(BINS)
+    lender = filled[np.searchsorted(filled, bins) % len(filled)]
+    marks = _mixed(least[lender] + ((lender - bins) % BINS).astype(np.uint64), 1)
+    planes = np.stack([marks >> np.uint64(63), marks >> np.uint64(62) & np.uint64(1)]).astype(np.uint8)
+    return np.packbits(planes, axis=1, bitorder="little").view("<i8").ravel().tolist()
+
+
+def fingerprint(text: str | None, shingle: int = 3, seed: int = 42, words: int = 1, sketch: bool = False) -> list[int]:
+    """The fingerprint words of one text as signed 64-bit integers, and with ``sketch`` those of its sketch.
 
     Words are runs of other characters than U+0020 and U+0009 to U+000D, A-Z lower-cased. A text
     with fewer words than a shingle is one shingle; null or without words it has all bits 0. Texts
@@ -52,25 +72,32 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42, words: int =
     """
     tokens = (text or "").encode().lower().split()
     if not tokens:
-        return [0] * words
+        return [0] * (words + sketch * len(SKETCH))
     n = max(1, len(tokens) - shingle + 1)
     joined = map(b" ".join, zip(*(islice(tokens, i, None) for i in range(shingle)))) if len(tokens) >= shingle else iter([b" ".join(tokens)])
     hashed, counts = map(partial(xxhash.xxh64_intdigest, seed=seed), joined), np.zeros((words, 64), dtype=np.int64)
+    least, floor = np.full(BINS, _MASK, dtype=np.uint64), np.arange(BINS, dtype=np.uint64) << np.uint64(64 - (BINS - 1).bit_length())
     for at in range(0, n, _CHUNK):
         h = np.fromiter(islice(hashed, _CHUNK), dtype=np.uint64, count=min(_CHUNK, n - at))
         for w in range(words):
             counts[w] += np.unpackbits(_mixed(h, w).astype("<u8", copy=False).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(counts * 2 > n, axis=1, bitorder="little").view("<i8").ravel().tolist()
+        if sketch:
+            h = np.append(np.sort(h), np.uint64(_MASK))
+            at_bin = np.searchsorted(h, floor)
+            least = np.minimum(least, np.where(at_bin < np.append(at_bin[1:], len(h) - 1), h[at_bin], np.uint64(_MASK)))
+    bits = np.packbits(counts * 2 > n, axis=1, bitorder="little").view("<i8").ravel().tolist()
+    return bits + _sketch(least) if sketch else bits
 
 
-def fingerprints(docs: DataFrame, keys: list[str], text_col: str = "text", shingle: int = 3, seed: int = 42, words: int = 1) -> DataFrame:
-    """(keys, f0, f1, ...): one row for each row of ``docs``, with its fingerprint words."""
-    schema, n = T.StructType([*(docs.schema[k] for k in keys), *(T.StructField(f"f{w}", T.LongType()) for w in range(words))]), len(keys)
+def fingerprints(docs: DataFrame, keys: list[str], text_col: str = "text", shingle: int = 3, seed: int = 42, words: int = 1, sketch: bool = False) -> DataFrame:
+    """(keys, f0, f1, ...): one row for each row of ``docs``, with its fingerprint words; with ``sketch`` also s0 to s7."""
+    made = [f"f{w}" for w in range(words)] + SKETCH * sketch
+    schema, n = T.StructType([*(docs.schema[k] for k in keys), *(T.StructField(c, T.LongType()) for c in made)]), len(keys)
 
     def run(batches):
         for b in batches:
-            found = np.array([fingerprint(t.as_py(), shingle, seed, words) for t in b.column(n)], dtype=np.int64).reshape(-1, words)
-            yield pa.RecordBatch.from_arrays([*b.columns[:n], *(pa.array(found[:, w]) for w in range(words))], names=[f.name for f in schema])
+            found = np.array([fingerprint(t.as_py(), shingle, seed, words, sketch) for t in b.column(n)], dtype=np.int64).reshape(-1, len(made))
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], *(pa.array(found[:, w]) for w in range(len(made)))], names=[f.name for f in schema])
 
     return docs.select(*keys, F.col(text_col).cast("string").alias("_t")).mapInArrow(run, schema)
 
@@ -92,8 +119,8 @@ def link_exact(classes: DataFrame, column: str = "f0") -> DataFrame:
     return chained.where("v IS NOT NULL AND bit_count(u ^ v) <= 2")
 
 
-def link_wide(classes: DataFrame, columns: list[str], limit: int, rep: str = "rep") -> DataFrame:
-    """Verified edges (u, v) between classes, by ``rep``, whose words differ in at most ``limit`` bits in all."""
+def link_wide(classes: DataFrame, columns: list[str], limit: int, rep: str = "rep", similarity: float = 0.8) -> DataFrame:
+    """Verified edges (u, v) between classes, by ``rep``, whose words differ in at most ``limit`` bits in all and whose sketches tell ``similarity`` or more."""
     def ball(column: str, shift: int, number: int):
         segment = F.shiftrightunsigned(F.col(column), shift).bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseOR(F.lit(number << 32).cast("long"))
         return F.transform(F.array(*map(F.lit, _ball())), lambda flip: segment.bitwiseXOR(flip.cast("long")))
@@ -103,9 +130,13 @@ def link_wide(classes: DataFrame, columns: list[str], limit: int, rep: str = "re
     w = Window.partitionBy("key").orderBy("u")
     met = keys.select("u", F.lag("u").over(w).alias("before"), F.first("u").over(w).alias("first")).where("before IS NOT NULL")
     pairs = met.select("u", F.explode(F.array("before", "first")).alias("v")).distinct()
-    side = lambda n: classes.select(F.col(rep).alias(n), *(F.col(c).alias(f"{n}_{c}") for c in columns))
+    side = lambda n: classes.select(F.col(rep).alias(n), *(F.col(c).alias(f"{n}_{c}") for c in (*columns, *SKETCH)))
     apart = sum((F.bit_count(F.col(f"u_{c}").bitwiseXOR(F.col(f"v_{c}"))) for c in columns), F.lit(0))
-    return pairs.join(side("u"), "u").join(side("v"), "v").where(apart <= limit).select("u", "v")
+    other = lambda c: F.col(f"u_{c}").bitwiseXOR(F.col(f"v_{c}"))
+    half = len(SKETCH) // 2
+    bins = sum((F.bit_count(other(a).bitwiseOR(other(b))) for a, b in zip(SKETCH[:half], SKETCH[half:])), F.lit(0))
+    alike = bins <= (1 - similarity + MARGIN) * (1 - CHANCE) * BINS
+    return pairs.join(side("u"), "u").join(side("v"), "v").where((apart <= limit) & alike).select("u", "v")
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
@@ -135,15 +166,15 @@ def bits_for(similarity: float, bits: int) -> int:
 def groups(docs: DataFrame, keys: list[str], text_col: str = "text", shingle: int = 5, similarity: float = 0.8, words: int = 4, seed: int = 42) -> DataFrame:
     """(keys, component_id): groups of near-duplicates by shingles of five words and a similarity of 0.8 or more.
 
-    The similarity is read from fingerprints of ``64 * words`` bits, whose share of differing bits is the angle between
-    the shingle sets over pi. component_id is the smallest first key of the group (a long); rows whose first key is null are left out.
+    Candidates are fingerprints of ``64 * words`` bits, whose share of differing bits is the angle between the shingle sets over
+    pi, up to the distance of a similarity less by SLACK; sketches decide. component_id is the smallest first key of the group (a long); rows whose first key is null are left out.
     """
     names = [f"f{w}" for w in range(words)]
-    prints, _ = materialize(fingerprints(docs.where(F.col(keys[0]).isNotNull()), keys, text_col, shingle, seed, words), "simhash")
-    classes, _ = materialize(prints.groupBy(*names).agg(F.min(keys[0]).cast("long").alias("rep")), "classes")
+    prints, _ = materialize(fingerprints(docs.where(F.col(keys[0]).isNotNull()), keys, text_col, shingle, seed, words, sketch=True), "simhash")
+    classes, _ = materialize(prints.groupBy(*names).agg(F.min(keys[0]).cast("long").alias("rep"), F.min(F.struct(*SKETCH)).alias("s")).select(*names, "rep", "s.*"), "classes")
     # different texts may repeat an id: their classes then share a node, and are told apart by their own number
     classes, _ = materialize(classes.withColumn("number", F.monotonically_increasing_id()), "classes")
-    linked = connected_components(link_wide(classes, names, bits_for(similarity, 64 * words), "number"))
+    linked = connected_components(link_wide(classes, names, bits_for(similarity - SLACK, 64 * words), "number", similarity))
     joined = classes.join(linked, classes["number"] == linked["node"], "left").select(*names, "rep", F.coalesce("component", "number").alias("component"))
     least = joined.groupBy("component").agg(F.min("rep").alias("component_id"))
     by_class = joined.join(least, "component").select(*names, "component", "component_id")
