@@ -171,7 +171,7 @@ def groups(docs: DataFrame, keys: list[str], text_col: str = "text", shingle: in
     """
     names = [f"f{w}" for w in range(words)]
     prints, _ = materialize(fingerprints(docs.where(F.col(keys[0]).isNotNull()), keys, text_col, shingle, seed, words, sketch=True), "simhash")
-    classes, _ = materialize(prints.groupBy(*names).agg(F.min(keys[0]).cast("long").alias("rep"), F.min(F.struct(*SKETCH)).alias("s")).select(*names, "rep", "s.*"), "classes")
+    classes = prints.groupBy(*names).agg(F.min(keys[0]).cast("long").alias("rep"), F.min(F.struct(*SKETCH)).alias("s")).select(*names, "rep", "s.*")
     # different texts may repeat an id: their classes then share a node, and are told apart by their own number
     classes, _ = materialize(classes.withColumn("number", F.monotonically_increasing_id()), "classes")
     linked = connected_components(link_wide(classes, names, bits_for(similarity - SLACK, 64 * words), "number", similarity))
