@@ -2,7 +2,8 @@
 
 All of it is DataFrame expressions. Arrays of words stay inside a row, so that statistics need no shuffle. Only (host, line
 hash) rows are shuffled for the line frequencies. Documents that are otherwise alike (copies and near copies) count
-once for a line, by the smallest hash among the document's other lines; so a group of copies doesn't make its own lines frequent.
+once for a line, so a group of copies doesn't make its own lines frequent. ``clean`` tells them by ``frequent_lines``; ``rules`` as ``SQL`` fixes
+it, by the smallest hash among the document's other lines, which takes documents that share several lines for copies.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from quillspark.llm.common import SPACES, materialize, text_or_empty
 LINE_LIMIT = 20
 #: A document is depleted when removed lines hold more than this percentage of its words.
 DEPLETED = 80
+#: Documents that share all but one in so many of their words have a similarity of 0.8 or more, as near copies do.
+OWN_SHARE = 9
 MIN_WORDS, MAX_REPEATED = 20, 30
 WINDOW = 8
 _SYMBOLS = "[#*$%&|<>]"
@@ -78,20 +81,43 @@ def _key(id_col: str, text_col: str) -> list[Column]:
     return [F.col(id_col).alias("_id"), F.xxhash64(text_or_empty(text_col)).alias("_text")]
 
 
-def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_limit: int = LINE_LIMIT) -> DataFrame:
+def frequent_lines(rows: DataFrame, line_limit: int) -> DataFrame:
+    """(_host, h): the lines that more than ``line_limit`` different documents of their host have.
+
+    Exact copies are one document. Of a document, lines that at most ``line_limit`` texts of the host have are its own; it is told from others by the
+    smallest hash of these, or, if they hold no more than one in OWN_SHARE of its words (a near copy), by the rarest line that it shares.
+    """
+    each = rows.select(F.coalesce("_host", F.lit("")).alias("_host"), "_text", F.explode("_lines").alias("x")).select("_host", "_text", "x.h", "x.n")
+    shared = each.select("_host", "h", "_text").distinct().groupBy("_host", "h").agg(F.count("*").alias("docs")).where(f"docs > {line_limit}")
+    shared, _ = materialize(shared, "shared")
+    own, short = F.col("docs").isNull(), F.xxhash64("h").bitwiseAND(F.lit(0xFFFFFFFF))
+    found = each.join(shared, ["_host", "h"], "left").groupBy("_host", "_text").agg(
+        (OWN_SHARE * F.coalesce(F.sum(F.when(own, F.col("n"))), F.lit(0)) > F.sum("n")).alias("differs"),
+        F.min(F.when(own, F.xxhash64("h"))).alias("own"),
+        F.min(F.when(~own, F.shiftleft("docs", 32).bitwiseOR(short))).alias("rarest"),
+    )
+    signs = found.where("rarest IS NOT NULL").select("_host", "_text", "differs", F.when(F.col("differs"), F.col("own")).otherwise(F.col("rarest")).alias("sign"))
+    hits = each.join(shared, ["_host", "h"]).select("_host", "h", "_text").distinct().join(signs, ["_host", "_text"])
+    return hits.select("_host", "h", "differs", "sign").distinct().groupBy("_host", "h").count().where(f"count > {line_limit}").select("_host", "h")
+
+
+def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_limit: int = LINE_LIMIT, as_sql: bool = False) -> DataFrame:
     """One row for each row of ``docs``: _id, _text, the statistics, base_failed, removed_words, removed (line hashes), kept.
 
     Null texts have no words and fail; null hosts are one host; rows that repeat an id are judged each by its own text. An
-    empty table gives an empty result; other columns are ignored.
+    empty table gives an empty result; other columns are ignored. With ``as_sql`` documents of a line are told apart as SQL does, else by ``frequent_lines``.
     """
     hashed = lambda x: F.struct(line_hash(x).alias("h"), F.size(words(x)).alias("n"))
     rows = docs.select(*_key(id_col, text_col), F.col(host_col).cast("string").alias("_host"), *statistics(docs, text_col), F.transform(lines(text_or_empty(text_col)), hashed).alias("_lines"))
     rows, _ = materialize(rows.select("_id", "_text", "_host", "_w.*", "n_symbols", "n_dup_lines", "_lines"), "quality")
     told = rows.select("_id", "_text", F.coalesce("_host", F.lit("")).alias("_host"), F.slice(F.array_sort(F.array_distinct(F.transform("_lines", lambda x: x["h"]))), 1, 2).alias("_least"), F.explode("_lines").alias("x"))
     each = told.select("_id", "_text", "_host", F.col("x.h").alias("h"), F.col("x.n").alias("n"), F.when(F.get("_least", F.lit(0)) == F.col("x.h"), F.coalesce(F.get("_least", F.lit(1)), F.lit(""))).otherwise(F.get("_least", F.lit(0))).alias("sign"))
-    once = each.select("_id", "_text", "_host", "h", "sign").distinct()
-    counts = once.groupBy("_host", "h", "sign").count().groupBy("_host", "h").agg(F.sum("count").alias("docs"), F.count("*").alias("different"))
-    frequent = counts.where(f"different > {line_limit} AND 2 * different >= docs").select("_host", "h")
+    if as_sql:
+        once = each.select("_id", "_text", "_host", "h", "sign").distinct()
+        counts = once.groupBy("_host", "h", "sign").count().groupBy("_host", "h").agg(F.sum("count").alias("docs"), F.count("*").alias("different"))
+        frequent = counts.where(f"different > {line_limit} AND 2 * different >= docs").select("_host", "h")
+    else:
+        frequent = frequent_lines(rows, line_limit)
     per_row = each.groupBy("_id", "_text", "_host", "h").agg(F.sum("n").alias("n"))
     removed = per_row.join(frequent, ["_host", "h"]).groupBy("_id", "_text", "_host").agg(F.sum("n").alias("n"), F.collect_list("h").alias("removed"))
     # rows that are alike in id, text and host were summed together: each of them has its share
@@ -106,7 +132,7 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
 
 def rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, removed_words, kept): one row for each row of ``docs``."""
-    found = verdicts(docs, id_col, text_col, host_col).withColumn("_", F.explode(F.array_repeat(F.lit(0), F.col("alike").cast("int"))))
+    found = verdicts(docs, id_col, text_col, host_col, as_sql=True).withColumn("_", F.explode(F.array_repeat(F.lit(0), F.col("alike").cast("int"))))
     return found.select(F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "kept")
 
 

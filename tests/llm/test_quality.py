@@ -66,3 +66,29 @@ def test_edges(spark):
     assert quality.rules(docs.limit(0)).count() == 0 and quality.clean(docs).count() == 0
     fine = spark.createDataFrame([(None, " ".join(f"w{i}" for i in range(25)), None, 3)] * 2, docs.schema)
     assert quality.clean(fine).collect() == fine.collect()
+
+
+def test_several_shared_lines_are_all_removed(spark):
+    line = lambda name: " ".join(f"{name}x{k}" for k in range(30))
+    rows, boilerplate = [], set()
+    for host, (shared, own) in enumerate([(1, 1), (5, 1), (10, 5), (20, 20), (5, 3), (3, 3)]):
+        common = [line(f"h{host}s{k}") for k in range(shared)]
+        boilerplate |= set(common)
+        rows += [(len(rows) + i, "\n".join([*common, *(line(f"h{host}d{i}o{k}") for k in range(own))]), f"h{host}") for i in range(25)]
+    # copies, and near copies with a changed line, also beside boilerplate, take nothing from one another
+    for i in range(60):
+        copy = [line(f"c{k}") if k != i % 40 else line(f"edit{i}") for k in range(40)]
+        rows.append((len(rows), "\n".join([*sorted(boilerplate)[:1], *copy]), "near"))
+        rows.append((len(rows), "\n".join(line(f"e{k}") for k in range(3)), "exact"))
+    for i in range(20):
+        rows.append((len(rows), "\n".join([line("rare"), line(f"few{i}")]), "few"))
+    by_line = {}
+    for d, t, host in rows:
+        for x in set(t.split("\n")):
+            by_line.setdefault((host, x), set()).add(t)
+    gone = {k for k, texts in by_line.items() if len(texts) > 20 and k[0] != "near"}
+    assert {x for _, x in gone} == boilerplate
+    want = {d: "\n".join(x for x in t.split("\n") if (host, x) not in gone) for d, t, host in rows if host != "h1"}
+    got = {r.doc_id: r.text for r in quality.clean(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    # five shared lines and one own: the documents are depleted
+    assert got == want
