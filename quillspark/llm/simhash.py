@@ -8,16 +8,15 @@ balls of radius one round them meet. The balls are enumerated segment by segment
 bits, the other segment kept), all fingerprints that reach the same word meet in one group, and complete
 distances are verified. A group never holds more than 65 different fingerprints, whatever the data, so no key is hot.
 
-Wide linking (``link_wide``): for similarities well below one, fingerprints of several words are cut into 32-bit segments;
-two meet if some segment differs in at most two bits. Each member of a group is compared with the group's
-first and with the member before it, and complete distances over all words are verified. The pairs left are decided by a
-sketch of the shingle sets themselves (the smallest hash in each of 256 bins, two bits of each), which tells similarities apart twice as finely.
+Wide linking (``link_sets``), for similarities well below one, where fingerprints find only some of the pairs, is exact over the sets of
+shingles themselves. All shingles are put in one order, by how common they are; texts of a similarity t share one of the first
+n - ceil(t n) + 1 of their n shingles, so texts that share none are never compared. Members of a key are compared with its first. The Jaccard similarity of a pair is computed from both sets.
 """
 
 from __future__ import annotations
 
 import math
-from functools import partial
+from functools import partial, reduce
 from itertools import islice
 
 import numpy as np
@@ -32,13 +31,8 @@ from quillspark.llm.components import connected_components
 
 _CHUNK = 1 << 16
 _MASK = (1 << 64) - 1
-#: Bins of a sketch; one of two different hashes in four agrees by chance.
-BINS, CHANCE = 256, 0.25
-#: How much less similar than asked for two fingerprints may look for a pair to reach the sketches.
-SLACK = 0.1
-#: The error of a sketch's similarity, which is granted to a pair: a copy that is missed weighs more than one at just below the similarity.
-MARGIN = 0.03
-SKETCH = [f"s{i}" for i in range(2 * BINS // 64)]
+#: Counts, by the highest bits of a shingle's hash, that put shingles in order: a table of fixed size, whose errors cost time but no pair.
+ORDER_BITS = 18
 
 
 def _mixed(h: np.ndarray, word: int) -> np.ndarray:
@@ -51,52 +45,47 @@ def _mixed(h: np.ndarray, word: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _sketch(least: np.ndarray) -> list[int]:
-    """Two planes of BINS bits from the smallest hash of each bin; an empty bin borrows from the next that isn't."""
-    filled = np.flatnonzero(least != _MASK)
-    if not len(filled):
-        return [0] * len(SKETCH)
-    bins = np.arange(BINS)
-    lender = filled[np.searchsorted(filled, bins) % len(filled)]
-    marks = _mixed(least[lender] + ((lender - bins) % BINS).astype(np.uint64), 1)
-    planes = np.stack([marks >> np.uint64(63), marks >> np.uint64(62) & np.uint64(1)]).astype(np.uint8)
-    return np.packbits(planes, axis=1, bitorder="little").view("<i8").ravel().tolist()
+def _hashes(text: str | None, shingle: int, seed: int):
+    """The number of shingles of a text and their hashes, chunk by chunk."""
+    tokens = (text or "").encode().lower().split()
+    if not tokens:
+        return 0, iter(())
+    n = max(1, len(tokens) - shingle + 1)
+    joined = map(b" ".join, zip(*(islice(tokens, i, None) for i in range(shingle)))) if len(tokens) >= shingle else iter([b" ".join(tokens)])
+    hashed = map(partial(xxhash.xxh64_intdigest, seed=seed), joined)
+    return n, (np.fromiter(islice(hashed, _CHUNK), dtype=np.uint64, count=min(_CHUNK, n - at)) for at in range(0, n, _CHUNK))
 
 
-def fingerprint(text: str | None, shingle: int = 3, seed: int = 42, words: int = 1, sketch: bool = False) -> list[int]:
-    """The fingerprint words of one text as signed 64-bit integers, and with ``sketch`` those of its sketch.
+def fingerprint(text: str | None, shingle: int = 3, seed: int = 42, words: int = 1) -> list[int]:
+    """The fingerprint words of one text as signed 64-bit integers.
 
     Words are runs of other characters than U+0020 and U+0009 to U+000D, A-Z lower-cased. A text
     with fewer words than a shingle is one shingle; null or without words it has all bits 0. Texts
     are worked through in chunks, so memory beyond the words themselves is constant.
     """
-    tokens = (text or "").encode().lower().split()
-    if not tokens:
-        return [0] * (words + sketch * len(SKETCH))
-    n = max(1, len(tokens) - shingle + 1)
-    joined = map(b" ".join, zip(*(islice(tokens, i, None) for i in range(shingle)))) if len(tokens) >= shingle else iter([b" ".join(tokens)])
-    hashed, counts = map(partial(xxhash.xxh64_intdigest, seed=seed), joined), np.zeros((words, 64), dtype=np.int64)
-    least, floor = np.full(BINS, _MASK, dtype=np.uint64), np.arange(BINS, dtype=np.uint64) << np.uint64(64 - (BINS - 1).bit_length())
-    for at in range(0, n, _CHUNK):
-        h = np.fromiter(islice(hashed, _CHUNK), dtype=np.uint64, count=min(_CHUNK, n - at))
+    n, hashed = _hashes(text, shingle, seed)
+    if not n:
+        return [0] * words
+    counts = np.zeros((words, 64), dtype=np.int64)
+    for h in hashed:
         for w in range(words):
             counts[w] += np.unpackbits(_mixed(h, w).astype("<u8", copy=False).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        if sketch:
-            h = np.append(np.sort(h), np.uint64(_MASK))
-            at_bin = np.searchsorted(h, floor)
-            least = np.minimum(least, np.where(at_bin < np.append(at_bin[1:], len(h) - 1), h[at_bin], np.uint64(_MASK)))
-    bits = np.packbits(counts * 2 > n, axis=1, bitorder="little").view("<i8").ravel().tolist()
-    return bits + _sketch(least) if sketch else bits
+    return np.packbits(counts * 2 > n, axis=1, bitorder="little").view("<i8").ravel().tolist()
+
+
+def shingle_set(text: str | None, shingle: int = 5, seed: int = 42) -> np.ndarray:
+    """The different hashes of the shingles of one text in rising order; none without words."""
+    return reduce(np.union1d, _hashes(text, shingle, seed)[1], np.empty(0, dtype=np.uint64))
 
 
-def fingerprints(docs: DataFrame, keys: list[str], text_col: str = "text", shingle: int = 3, seed: int = 42, words: int = 1, sketch: bool = False) -> DataFrame:
-    """(keys, f0, f1, ...): one row for each row of ``docs``, with its fingerprint words; with ``sketch`` also s0 to s7."""
-    made = [f"f{w}" for w in range(words)] + SKETCH * sketch
+def fingerprints(docs: DataFrame, keys: list[str], text_col: str = "text", shingle: int = 3, seed: int = 42, words: int = 1) -> DataFrame:
+    """(keys, f0, f1, ...): one row for each row of ``docs``, with its fingerprint words."""
+    made = [f"f{w}" for w in range(words)]
     schema, n = T.StructType([*(docs.schema[k] for k in keys), *(T.StructField(c, T.LongType()) for c in made)]), len(keys)
 
     def run(batches):
         for b in batches:
-            found = np.array([fingerprint(t.as_py(), shingle, seed, words, sketch) for t in b.column(n)], dtype=np.int64).reshape(-1, len(made))
+            found = np.array([fingerprint(t.as_py(), shingle, seed, words) for t in b.column(n)], dtype=np.int64).reshape(-1, len(made))
             yield pa.RecordBatch.from_arrays([*b.columns[:n], *(pa.array(found[:, w]) for w in range(len(made)))], names=[f.name for f in schema])
 
     return docs.select(*keys, F.col(text_col).cast("string").alias("_t")).mapInArrow(run, schema)
@@ -119,24 +108,86 @@ def link_exact(classes: DataFrame, column: str = "f0") -> DataFrame:
     return chained.where("v IS NOT NULL AND bit_count(u ^ v) <= 2")
 
 
-def link_wide(classes: DataFrame, columns: list[str], limit: int, rep: str = "rep", similarity: float = 0.8) -> DataFrame:
-    """Verified edges (u, v) between classes, by ``rep``, whose words differ in at most ``limit`` bits in all and whose sketches tell ``similarity`` or more."""
-    def ball(column: str, shift: int, number: int):
-        segment = F.shiftrightunsigned(F.col(column), shift).bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseOR(F.lit(number << 32).cast("long"))
-        return F.transform(F.array(*map(F.lit, _ball())), lambda flip: segment.bitwiseXOR(flip.cast("long")))
+def shingle_sets(docs: DataFrame, keys: list[str], text_col: str = "text", shingle: int = 5, seed: int = 42) -> DataFrame:
+    """(keys, d, n, hashes): the shingle set of each row of ``docs``, its size and a digest d that tells sets apart."""
+    added = [T.StructField("d", T.LongType()), T.StructField("n", T.LongType()), T.StructField("hashes", T.ArrayType(T.LongType()))]
+    schema, n = T.StructType([*(docs.schema[k] for k in keys), *added]), len(keys)
+
+    def run(batches):
+        for b in batches:
+            sets = [shingle_set(t.as_py(), shingle, seed) for t in b.column(n)]
+            digest = np.array([_mixed(x, 1).sum(dtype=np.uint64) for x in sets], dtype=np.uint64).view(np.int64)
+            size = np.array([len(x) for x in sets], dtype=np.int64)
+            hashes = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(np.concatenate([np.empty(0, dtype=np.uint64), *sets]).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(digest), pa.array(size), hashes], names=[f.name for f in schema])
+
+    return docs.select(*keys, F.col(text_col).cast("string").alias("_t")).mapInArrow(run, schema)
+
+
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    return (hashes.view(np.uint64) >> np.uint64(64 - ORDER_BITS)).astype(np.int64)
+
+
+def _values(column) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False)
 
-    parts = [ball(c, 32 * half, 2 * i + half) for i, c in enumerate(columns) for half in (0, 1)]
-    keys = classes.select(F.col(rep).alias("u"), F.explode(F.concat(*parts)).alias("key"))
-    w = Window.partitionBy("key").orderBy("u")
-    met = keys.select("u", F.lag("u").over(w).alias("before"), F.first("u").over(w).alias("first")).where("before IS NOT NULL")
-    pairs = met.select("u", F.explode(F.array("before", "first")).alias("v")).distinct()
-    side = lambda n: classes.select(F.col(rep).alias(n), *(F.col(c).alias(f"{n}_{c}") for c in (*columns, *SKETCH)))
-    apart = sum((F.bit_count(F.col(f"u_{c}").bitwiseXOR(F.col(f"v_{c}"))) for c in columns), F.lit(0))
-    other = lambda c: F.col(f"u_{c}").bitwiseXOR(F.col(f"v_{c}"))
-    half = len(SKETCH) // 2
-    bins = sum((F.bit_count(other(a).bitwiseOR(other(b))) for a, b in zip(SKETCH[:half], SKETCH[half:])), F.lit(0))
-    alike = bins <= (1 - similarity + MARGIN) * (1 - CHANCE) * BINS
-    return pairs.join(side("u"), "u").join(side("v"), "v").where((apart <= limit) & alike).select("u", "v")
+
+def _common(sets: DataFrame) -> np.ndarray:
+    """How many shingles of all sets fall into each bucket."""
+
+    def run(batches):
+        counts = np.zeros(1 << ORDER_BITS, dtype=np.int64)
+        for b in batches:
+            counts += np.bincount(_bucket(_values(b.column(0))), minlength=len(counts))
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["at", "c"])
+
+    found = sets.select("hashes").mapInArrow(run, "at long, c long").groupBy("at").agg(F.sum("c").alias("c")).toPandas()
+    out = np.zeros(1 << ORDER_BITS, dtype=np.int64)
+    out[found["at"].to_numpy(dtype=np.int64)] = found["c"].to_numpy(dtype=np.int64)
+    return out
+
+
+def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """(u, n, key): for each set the first of its shingles, rarest first, of which sets of this similarity share one."""
+    common = _common(sets)
+
+    def run(batches):
+        for b in batches:
+            values, size = _values(b.column(2)), b.column(1).to_numpy()
+            ends, keys = np.cumsum(size), [np.empty(0, dtype=np.int64)]
+            for end, n in zip(ends, size):
+                x = values[end - n : end]
+                keys.append(x[np.argsort(common[_bucket(x)], kind="stable")[: n - math.ceil(similarity * n - 1e-9) + 1]])
+            taken = [len(k) for k in keys[1:]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), taken)), pa.array(np.repeat(size, taken)), pa.array(np.concatenate(keys))], names=["u", "n", "key"])
+
+    return sets.select("d", "n", "hashes").where("n > 0").mapInArrow(run, "u long, n long, key long")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose sets have a Jaccard similarity of ``similarity`` or more."""
+    pairs, _ = materialize(pairs.select("u", "v").distinct(), "pairs")
+    wanted = pairs.select(F.col("u").alias("d")).unionByName(pairs.select(F.col("v").alias("d"))).distinct()
+    sides, _ = materialize(sets.select("d", "n", "hashes").join(wanted, "d", "left_semi").dropDuplicates(["d"]), "sides")
+    side = lambda name: sides.select(F.col("d").alias(name), F.col("n").alias(f"{name}_n"), F.col("hashes").alias(f"{name}_h"))
+    both = F.size(F.array_intersect("u_h", "v_h"))
+    near = both >= similarity * (F.col("u_n") + F.col("v_n") - both) - 1e-9
+    found, _ = materialize(pairs.join(side("u"), "u").join(side("v"), "v").where(near).select("u", "v"), "near")
+    return found
+
+
+def link_sets(sets: DataFrame, similarity: float) -> DataFrame:
+    """Edges (u, v) between sets, by d, of pairs of ``similarity`` or more connect.
+
+    Each member of a key is compared with its first.
+    """
+    by_key = Window.partitionBy("key").orderBy("u")
+    met = _prefixes(sets, similarity).select("key", "u", "n", F.first(F.struct("u", "n")).over(by_key).alias("first"), F.lag("u").over(by_key).alias("before"))
+    met, _ = materialize(met.where("before <> u AND first.u <> u").select("key", "u", "n", F.col("first.u").alias("v"), F.col("first.n").alias("v_n")), "met")
+    sized = lambda a, b: F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
+    near = _verified(met.where(sized(F.col("n"), F.col("v_n"))), sets, similarity)
+    return near
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
@@ -158,27 +209,18 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(F.col(id_col), F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def bits_for(similarity: float, bits: int) -> int:
-    """Bits that differ at most, as expected, between texts whose shingle sets have this Jaccard similarity."""
-    return round(math.acos(2 * similarity / (1 + similarity)) / math.pi * bits)
-
-
-def groups(docs: DataFrame, keys: list[str], text_col: str = "text", shingle: int = 5, similarity: float = 0.8, words: int = 4, seed: int = 42) -> DataFrame:
-    """(keys, component_id): groups of near-duplicates by shingles of five words and a similarity of 0.8 or more.
+def groups(docs: DataFrame, keys: list[str], text_col: str = "text", shingle: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
+    """(keys, component, component_id): groups of near-duplicates by shingles of five words and a Jaccard similarity of 0.8 or more.
 
-    Candidates are fingerprints of ``64 * words`` bits, whose share of differing bits is the angle between the shingle sets over
-    pi, up to the distance of a similarity less by SLACK; sketches decide. component_id is the smallest first key of the group (a long); rows whose first key is null are left out.
+    Equal sets are one class from the start; texts without words are one class. component_id is the smallest first key of the group (a long); rows whose first key is null are left out.
     """
-    names = [f"f{w}" for w in range(words)]
-    prints, _ = materialize(fingerprints(docs.where(F.col(keys[0]).isNotNull()), keys, text_col, shingle, seed, words, sketch=True), "simhash")
-    classes = prints.groupBy(*names).agg(F.min(keys[0]).cast("long").alias("rep"), F.min(F.struct(*SKETCH)).alias("s")).select(*names, "rep", "s.*")
-    # different texts may repeat an id: their classes then share a node, and are told apart by their own number
-    classes, _ = materialize(classes.withColumn("number", F.monotonically_increasing_id()), "classes")
-    linked = connected_components(link_wide(classes, names, bits_for(similarity - SLACK, 64 * words), "number", similarity))
-    joined = classes.join(linked, classes["number"] == linked["node"], "left").select(*names, "rep", F.coalesce("component", "number").alias("component"))
+    sets, _ = materialize(shingle_sets(docs.where(F.col(keys[0]).isNotNull()), keys, text_col, shingle, seed), "sets")
+    linked = connected_components(link_sets(sets, similarity))
+    classes = sets.groupBy("d").agg(F.min(keys[0]).cast("long").alias("rep"))
+    joined = classes.join(linked, classes["d"] == linked["node"], "left").select("d", "rep", F.coalesce("component", "d").alias("component"))
     least = joined.groupBy("component").agg(F.min("rep").alias("component_id"))
-    by_class = joined.join(least, "component").select(*names, "component", "component_id")
-    return prints.join(by_class, names).select(*keys, "component", "component_id")
+    by_class = joined.join(least, "component").select("d", "component", "component_id")
+    return sets.select(*keys, "d").join(by_class, "d").select(*keys, "component", "component_id")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -91,3 +91,36 @@ def test_groups_find_near_copies(spark):
     kept = simhash.deduplicate(docs.unionByName(odd))
     assert sorted((r.doc_id or -1, len(r.text or "") > 0) for r in kept.collect() if r.doc_id in (None, 5, 9, 30)) == [(-1, False), (-1, True), (5, False), (5, True), (5, True)]
     assert simhash.deduplicate(docs.limit(0)).count() == 0
+
+
+def jaccard_closure(texts):
+    sets, root = {d: {tuple((w := t.split())[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for d, t in texts.items()}, {d: d for d in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in texts:
+        for b in texts:
+            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                ra, rb = sorted((find(a), find(b)))
+                root[rb] = ra
+    return {d: find(d) for d in texts}
+
+
+def found(spark, texts):
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    return {r.doc_id: r.component_id for r in simhash.groups(docs, ["doc_id"]).collect()}
+
+
+def test_groups_are_exact_at_the_similarity(spark):
+    rng = random.Random(2)
+    texts = {}
+    for g in range(60):
+        n = rng.choice([4, 8, 12, 40, 150, 300])
+        words = [f"g{g}w{i}" for i in range(n)]
+        texts[len(texts)] = " ".join(words)
+        for share in (0.01, 0.05, 0.09, 0.1, 0.11, 0.12, 0.15):
+            texts[len(texts)] = " ".join(words[: n - round(n * share)] + [f"x{len(texts)}y{i}" for i in range(round(n * share))])
+    assert found(spark, texts) == jaccard_closure(texts)
