@@ -10,7 +10,8 @@ distances are verified. A group never holds more than 65 different fingerprints,
 
 Wide linking (``link_sets``), for similarities well below one, where fingerprints find only some of the pairs, is exact over the sets of
 shingles themselves. All shingles are put in one order, by how common they are; texts of a similarity t share one of the first
-n - ceil(t n) + 1 of their n shingles, so texts that share none are never compared. Members of a key are compared with its first. The Jaccard similarity of a pair is computed from both sets.
+n - ceil(t n) + 1 of their n shingles, so texts that share none are never compared. Members of a key are compared with its first, and
+those that are not connected by this with one another. The Jaccard similarity of a pair is computed from both sets.
 """
 
 from __future__ import annotations
@@ -178,16 +179,24 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 
 
 def link_sets(sets: DataFrame, similarity: float) -> DataFrame:
-    """Edges (u, v) between sets, by d, of pairs of ``similarity`` or more connect.
+    """Edges (u, v) that connect, by d, exactly the sets that pairs of ``similarity`` or more connect.
 
-    Each member of a key is compared with its first.
+    Two members of a key that the first round has put into one component need not be compared; all others are, so only a
+    key that very many sets share of which no two are near costs all its pairs.
     """
     by_key = Window.partitionBy("key").orderBy("u")
     met = _prefixes(sets, similarity).select("key", "u", "n", F.first(F.struct("u", "n")).over(by_key).alias("first"), F.lag("u").over(by_key).alias("before"))
     met, _ = materialize(met.where("before <> u AND first.u <> u").select("key", "u", "n", F.col("first.u").alias("v"), F.col("first.n").alias("v_n")), "met")
     sized = lambda a, b: F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
     near = _verified(met.where(sized(F.col("n"), F.col("v_n"))), sets, similarity)
-    return near
+    linked = connected_components(near)
+    rest = met.join(linked, met["u"] == linked["node"], "left").select("key", "u", "n", F.coalesce("component", "u").alias("c"))
+    apart = rest.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("key")
+    rest = rest.join(apart, "key").groupBy("key", "c").agg(F.collect_list(F.struct("u", "n")).alias("m"))
+    rest, _ = materialize(rest, "rest")
+    left, right = rest.select("key", F.col("c").alias("a"), F.explode("m").alias("x")), rest.select("key", F.col("c").alias("b"), F.col("m").alias("ys"))
+    pairs = left.join(right, "key").where("a < b").select("x", F.explode("ys").alias("y")).where(sized(F.col("x.n"), F.col("y.n")))
+    return near.unionByName(_verified(pairs.select(F.least("x.u", "y.u").alias("u"), F.greatest("x.u", "y.u").alias("v")), sets, similarity))
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:

@@ -124,3 +124,16 @@ def test_groups_are_exact_at_the_similarity(spark):
         for share in (0.01, 0.05, 0.09, 0.1, 0.11, 0.12, 0.15):
             texts[len(texts)] = " ".join(words[: n - round(n * share)] + [f"x{len(texts)}y{i}" for i in range(round(n * share))])
     assert found(spark, texts) == jaccard_closure(texts)
+
+
+def test_a_crowded_key_loses_no_pair(spark):
+    texts = []
+    for g in range(4):
+        for c in range(24):
+            # a family shares many keys; only two that differ from it at the same place are near each other
+            words, at = [f"g{g}w{i}" for i in range(300)], 24 * (c // 2)
+            words[at : at + 16] = [f"c{g}x{c}y{i}" for i in range(16)]
+            texts.append(" ".join(words))
+    random.Random(3).shuffle(texts)
+    texts = dict(enumerate(texts))
+    assert found(spark, texts) == jaccard_closure(texts)
