@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import materialize
+from quillspark.llm.common import drop, materialize
 from quillspark.llm.components import connected_components
 
 _CHUNK = 1 << 16
@@ -168,13 +168,17 @@ def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (u, v) whose sets have a Jaccard similarity of ``similarity`` or more."""
-    pairs, _ = materialize(pairs.select("u", "v").distinct(), "pairs")
-    wanted = pairs.select(F.col("u").alias("d")).unionByName(pairs.select(F.col("v").alias("d"))).distinct()
-    sides, _ = materialize(sets.select("d", "n", "hashes").join(wanted, "d", "left_semi").dropDuplicates(["d"]), "sides")
+    spark = sets.sparkSession
+    pairs, pairs_path = materialize(pairs.select("u", "v").distinct(), "pairs")
+    wanted, wanted_path = materialize(pairs.select(F.col("u").alias("d")).unionByName(pairs.select(F.col("v").alias("d"))).distinct(), "wanted")
+    # only the sets of pairs are shuffled, once for both sides
+    sides = sets.select("d", "n", "hashes").join(wanted, "d", "left_semi").dropDuplicates(["d"])
     side = lambda name: sides.select(F.col("d").alias(name), F.col("n").alias(f"{name}_n"), F.col("hashes").alias(f"{name}_h"))
     both = F.size(F.array_intersect("u_h", "v_h"))
     near = both >= similarity * (F.col("u_n") + F.col("v_n") - both) - 1e-9
     found, _ = materialize(pairs.join(side("u"), "u").join(side("v"), "v").where(near).select("u", "v"), "near")
+    drop(spark, pairs_path)
+    drop(spark, wanted_path)
     return found
 
 
