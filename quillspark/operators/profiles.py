@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark import fixed_values as fixed
 from quillspark.config import DEFAULT, Settings
 from quillspark.functions import text as tx
 from quillspark.operators import classify
@@ -102,7 +103,7 @@ def _title_problem() -> Column:
     flat, n = c("_flat"), F.size(F.split("_flat", " "))
     known = c("_norm").rlike(r"^(?:глава|раздел|параграф|урок|тема)\s+\S|(?<![а-я])(?:план|схема|алгоритм|формула|правило|теорема|закон)(?![а-я])")
     orders = c("_norm").rlike("(?<![а-я])(?:укажите|выберите|найдите|сравните|объясните|докажите)(?![а-я])")
-    for command in classify.COMMANDS:
+    for command in fixed.EXERCISE_COMMANDS:
         orders = orders | F.contains("_s", F.lit(f" {classify.stem_of(command)} "))
     open_marks = F.regexp_count(flat, F.lit(r"\(")) > F.regexp_count(flat, F.lit(r"\)"))
     reasons = {
@@ -139,7 +140,7 @@ def section_titles(rows: DataFrame, keys: list[str], text: str = "text", heading
     step and before a colon. Only these short strings are looked at and aggregated; texts stay out of the shuffle. ``keys`` tell rows apart.
     """
     first = F.regexp_replace(F.trim(F.regexp_extract(F.trim(c(text)), r"^[^\n\r]*", 0)), r"^#{1,6}\s*", "")
-    flat = tx.clean(F.substring(c(text), 1, 4000))
+    flat = tx.clean(c(text))
     tried = [
         ("first_line", first),
         ("inline_heading", F.regexp_extract(flat, rf"^(.{{6,140}}?)\.\s+(?:{_STEP}|[А-ЯЁA-Z])", 1)),
@@ -149,7 +150,7 @@ def section_titles(rows: DataFrame, keys: list[str], text: str = "text", heading
     own = [F.struct(F.lit(how).alias("how"), F.when((text_ != "") | F.lit(how == "first_line"), F.coalesce(text_, F.lit(""))).alias("t")) for how, text_ in tried]
     stored = F.transform(F.reverse(F.coalesce(c(headings), F.array().cast("array<string>"))), lambda h: F.struct(F.lit("meta").alias("how"), h.alias("t"))) if headings else F.array().cast("array<struct<how:string,t:string>>")
     each = rows.select(*keys, F.posexplode(F.concat(stored, F.array(*own))).alias("at", "x")).select(*keys, "at", "x.how", F.col("x.t").alias("candidate")).where("candidate IS NOT NULL")
-    told = classify.prepared(each.withColumn("candidate", F.substring("candidate", 1, 400)), "candidate")
+    told = classify.prepared(each, "candidate")
     told = told.withColumn("problem", F.coalesce(_title_problem(), F.when(classify.chunk_type()["chunk_type"].isin(*_NO_TITLES), F.lit("not_a_heading"))))
     title = F.when(c("problem").isNull(), F.substring(without_page_number(c("_flat")), 1, 180))
     found = told.select(*keys, "at", "how", "problem", title.alias("title"))
@@ -170,7 +171,7 @@ def document_profiles(elements: DataFrame, source: str = "source", index: str =
     joined = lambda n: F.concat_ws(" ", F.transform(F.filter(F.sort_array(F.collect_list(F.struct("rank", content))), lambda e: e["rank"] <= n), lambda e: e[content]))
     texts = early.groupBy(source).agg(joined(first).alias("_first"), joined(sample).alias("_sample"))
     named = F.concat_ws(" ", source, "_first")
-    terms = early.select(source, F.explode(tx.tokens(c(content))).alias("term")).where(~c("term").isin(*tx.STOPWORDS) & (F.length("term") >= 4) & c("term").rlike("[^0-9]")).distinct()
+    terms = early.select(source, F.explode(tx.tokens(c(content))).alias("term")).where(~c("term").isin(*fixed.STOPWORDS) & (F.length("term") >= 4) & c("term").rlike("[^0-9]")).distinct()
     counted = top(terms.groupBy(source, tx.stem(c("term")).alias("stem")).agg(F.count("*").alias("n")), keywords, F.desc("n"), c("stem"), by=source)
     words = counted.groupBy(source).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "stem"))), lambda x: x["stem"]).alias("keywords"))
     out = texts.join(words, source, "left").select(source, tx.document_type(named).alias("doc_type"), tx.language(c("_first")).alias("language"), tx.grade(named).alias("grade"), F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"))

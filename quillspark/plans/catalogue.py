@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillspark import fixed_values as fixed
 from quillspark.functions import text as tx
 from quillspark.operators import chunking, classify, evaluate, recall, scoring
 from quillspark.plans import retrieve
@@ -48,15 +49,15 @@ def _clean(x: str) -> str:
 
 
 def _stem(t: str) -> str:
-    cases = " ".join(f"WHEN {t} LIKE '%{s}' AND length({t}) >= {len(s) + 4} THEN left({t}, length({t}) - {len(s)})" for s in tx.SUFFIXES)
-    return f"(CASE WHEN NOT regexp_matches({t}, '[а-я]') OR length({t}) < 5 THEN {t} {cases} ELSE {t} END)"
+    return f"regexp_replace({t}, '^(.{{4,}}?)(?:{'|'.join(fixed.SUFFIXES)})$', '\\1')"
 
 
 def _cut(x: str, size: int) -> str:
     return f"(CASE WHEN length({_clean(x)}) <= {size} THEN {_clean(x)} ELSE trim(regexp_replace(substr({_clean(x)}, 1, {size}), ' [^ ]*$', '')) END)"
 
 
-_STOP = "(" + ", ".join(f"'{w}'" for w in tx.STOPWORDS) + ")"
+_STOP = "(" + ", ".join(f"'{w}'" for w in fixed.QUERY_STOPWORDS) + ")"
+_PROFILE_STOP = "(" + ", ".join(f"'{w}'" for w in fixed.STOPWORDS) + ")"
 _WEAK = "(length(term) = 1 AND NOT regexp_matches(term, '[0-9]'))"
 _DT = f"dt AS (SELECT doc_id, source, term, count(*) AS tf FROM (SELECT doc_id, source, unnest({_tok('text')}) AS term FROM documents) GROUP BY ALL)"
 _QT = f"qt AS (SELECT query_id, term FROM (SELECT item_id AS query_id, unnest(list_distinct({_tok('text')})) AS term FROM benchmark) WHERE term NOT IN {_STOP} AND NOT {_WEAK})"
@@ -119,10 +120,10 @@ def token_stats(spark, sf_dir):
 
 
 @query(f"""SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, stem) AS rank FROM (SELECT source, {_stem('term')} AS stem, count(DISTINCT term) AS n
-FROM (SELECT source, unnest({_tok('text')}) AS term FROM documents) WHERE term NOT IN {_STOP} AND length(term) >= 4 AND regexp_matches(term, '[^0-9]') GROUP BY ALL) QUALIFY rank <= 60""")
+FROM (SELECT source, unnest({_tok('text')}) AS term FROM documents) WHERE term NOT IN {_PROFILE_STOP} AND length(term) >= 4 AND regexp_matches(term, '[^0-9]') GROUP BY ALL) QUALIFY rank <= 60""")
 def keyword_profile(spark, sf_dir):
     t = read(spark, sf_dir, "documents").select("source", F.explode(tx.tokens(F.col("text"))).alias("term"))
-    t = t.where(~F.col("term").isin(*tx.STOPWORDS) & (F.length("term") >= 4) & F.col("term").rlike("[^0-9]")).distinct()
+    t = t.where(~F.col("term").isin(*fixed.STOPWORDS) & (F.length("term") >= 4) & F.col("term").rlike("[^0-9]")).distinct()
     n = t.groupBy("source", tx.stem(F.col("term")).alias("stem")).agg(F.count("*").alias("n"))
     return recall.top(n, 60, F.desc("n"), F.col("stem"), by="source")
 
@@ -133,7 +134,7 @@ def language_by_script(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", "lang", tx.language(F.col("text")).alias("script"))
 
 
-_KIND_SQL = " ".join(f"WHEN regexp_matches({_norm('html')}, '{'|'.join(w.replace('_', ' ') for w in words.split())}') THEN '{kind}'" for kind, words in tx._KINDS.items())
+_KIND_SQL = " ".join(f"WHEN regexp_matches({_norm('html')}, '{'|'.join(words)}') THEN '{kind}'" for kind, words in fixed.DOCUMENT_KINDS.items())
 
 
 @query(f"SELECT page_id, CASE {_KIND_SQL} ELSE 'unknown' END AS doc_type FROM pages")
@@ -208,12 +209,12 @@ def reembed_swap_check(spark, sf_dir):
 # --- recall and fusion -------------------------------------------------------------------------------------------------
 
 _DENSE = """v AS (SELECT vec_id, vec_id // 4 AS fragment_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-p AS (SELECT q.vec_id AS query_id, c.vec_id AS sub, c.fragment_id, c.label, 1 - list_cosine_similarity(q.e, c.e) AS d FROM (SELECT * FROM v WHERE vec_id % 100 = 0) q CROSS JOIN v c)"""
+p AS (SELECT q.vec_id AS query_id, c.vec_id AS sub, c.fragment_id, c.label, 1 - list_cosine_similarity(q.e, c.e) AS d FROM (SELECT * FROM v WHERE vec_id % 20 = 0) q CROSS JOIN v c)"""
 
 
 def _vectors(spark, sf_dir):
     v = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("subchunk_id"), F.floor(F.col("vec_id") / 4).alias("fragment_id"), "label", F.col("embedding").cast("array<double>").alias("embedding"))
-    return v, v.where("subchunk_id % 100 = 0").select(F.col("subchunk_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return v, v.where("subchunk_id % 20 = 0").select(F.col("subchunk_id").alias("query_id"), F.col("embedding").alias("query_vector"))
 
 
 @query(f"""WITH {_DENSE}, n AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d, sub) <= 180), f AS (SELECT query_id, fragment_id, min(d) AS d FROM n GROUP BY ALL)
@@ -226,8 +227,8 @@ def dense_topk(spark, sf_dir):
 @query(f"""WITH {_DENSE} SELECT query_id, label, round(min(d), 6) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY min(d), label) AS rank FROM p GROUP BY query_id, label QUALIFY rank <= 8""")
 def dense_doc_recall(spark, sf_dir):
     v, q = _vectors(spark, sf_dir)
-    near = v.crossJoin(F.broadcast(q)).groupBy("query_id", "label").agg(F.min(1 - recall.cosine(F.col("embedding"), F.col("query_vector"))).alias("d"))
-    return recall.top(near, 8, F.col("d"), F.col("label")).select("query_id", "label", F.round("d", 6).alias("distance"), "rank")
+    near = recall.nearest_of(q, v, "label")
+    return recall.top(near, 8, F.col("distance"), F.col("label")).select("query_id", "label", F.round("distance", 6).alias("distance"), "rank")
 
 
 @query(f"WITH {_KW} SELECT query_id, fragment_id, CAST(n AS BIGINT) AS n, round(lexical_score, 6) AS lexical_score, rank FROM kw")
@@ -256,16 +257,24 @@ def document_route(spark, sf_dir):
     return routed.select("query_id", "source", "reason", F.round("score", 6).alias("score"), "rank")
 
 
-_BM25 = """pt AS (SELECT query_id, fragment_id, term, tf FROM (SELECT query_id, fragment_id FROM kw WHERE rank <= 12) JOIN dt ON fragment_id = doc_id),
+_FORMS = f"list_distinct([x, {_stem('x')}])"
+_BM25 = f"""pt AS (SELECT query_id, fragment_id, term, count(*) AS tf FROM (SELECT query_id, fragment_id, unnest(flatten(list_transform({_tok("concat_ws(' ', source, text)")}, lambda x: {_FORMS}))) AS term
+  FROM (SELECT query_id, fragment_id FROM kw WHERE rank <= 12) JOIN documents ON fragment_id = doc_id) GROUP BY ALL),
+qf AS (SELECT query_id, x AS word, unnest({_FORMS}) AS term FROM (SELECT query_id, term AS x FROM qt)),
 pl AS (SELECT query_id, fragment_id, sum(tf) AS len, count(*) OVER (PARTITION BY query_id) AS n, avg(sum(tf)) OVER (PARTITION BY query_id) AS a FROM pt GROUP BY query_id, fragment_id),
-ph AS (SELECT pt.*, m, count(*) OVER (PARTITION BY query_id, term) AS df FROM pt JOIN (SELECT *, count(*) OVER (PARTITION BY query_id) AS m FROM qt) USING (query_id, term)),
-pw AS (SELECT query_id, fragment_id, sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / a))) * count(*) / max(m) AS raw FROM ph JOIN pl USING (query_id, fragment_id) GROUP BY ALL)"""
+ph AS (SELECT pt.*, count(*) OVER (PARTITION BY query_id, term) AS df FROM pt JOIN (SELECT DISTINCT query_id, term FROM qf) USING (query_id, term)),
+pw AS (SELECT query_id, fragment_id, sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / a))) AS raw FROM ph JOIN pl USING (query_id, fragment_id) GROUP BY ALL),
+pc AS (SELECT query_id, fragment_id, count(DISTINCT word) / CAST(max(words) AS DOUBLE) AS coverage FROM pt JOIN qf USING (query_id, term) JOIN (SELECT query_id, count(DISTINCT word) AS words FROM qf GROUP BY 1) USING (query_id) GROUP BY ALL)"""
 
 
-@query(f"WITH {_KW}, {_BM25} SELECT query_id, fragment_id, round(raw / max(raw) OVER (PARTITION BY query_id), 6) AS bm25 FROM pw")
+@query(f"WITH {_KW}, {_BM25} SELECT query_id, fragment_id, round(coverage * raw / max(raw) OVER (PARTITION BY query_id), 6) AS bm25 FROM pw JOIN pc USING (query_id, fragment_id)")
 def bm25_pool(spark, sf_dir):
+    """BM25 of every benchmark item's twelve best documents by words: over the pool's best, and then by the share of the item's words."""
     pool = keyword_list(spark, sf_dir).where("rank <= 12").select("query_id", "fragment_id")
-    scored = recall.bm25(bench_terms(spark, sf_dir), pool.join(doc_tokens(spark, sf_dir), "fragment_id"))
+    texts = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("fragment_id"), F.concat_ws(" ", "source", "text").alias("t"))
+    forms = pool.join(texts, "fragment_id").select("query_id", "fragment_id", F.explode(tx.all_forms(tx.tokens(F.col("t")))).alias("term"))
+    words = bench_terms(spark, sf_dir).select("query_id", F.col("term").alias("word"), F.explode(tx.forms(F.col("term"))).alias("term"))
+    scored = recall.bm25(words, forms.groupBy("query_id", "fragment_id", "term").agg(F.count("*").alias("tf")))
     return scored.select("query_id", "fragment_id", F.round("bm25", 6).alias("bm25"))
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillspark import fixed_values as fixed
 from quillspark.functions import text as tx
 from quillspark.operators import classify, evaluate, profiles
 from quillspark.operators.recall import top
-from quillspark.plans.catalogue import _METRICS, _STOP, _norm, _stem, _tok, bench_terms, components, metrics, query, read, _AS
+from quillspark.plans.catalogue import _METRICS, _PROFILE_STOP, _STOP, _norm, _stem, _tok, bench_terms, components, metrics, query, read, _AS
 from quillspark.sources import files
 
 _PLAIN = "[^a-zа-я0-9]"
@@ -22,7 +23,7 @@ def keyword_recall_terms(spark, sf_dir):
 
 
 @query(f"""SELECT query_id, array_to_string({_ORDERED.format('p')}, ',') AS phrases FROM (SELECT query_id, list_filter(list_transform(range(1, len(ts)), lambda i: CASE WHEN (regexp_matches(ts[i + 1], '^[0-9]+$|^[ivxlcdm]+$') AND NOT (length(ts[i]) = 1 AND NOT regexp_matches(ts[i], '[0-9]')))
-OR (length(ts[i]) >= 4 AND ts[i] NOT IN {_STOP} AND length(ts[i + 1]) >= 4 AND ts[i + 1] NOT IN {_STOP}) THEN ts[i] || ' ' || ts[i + 1] END), lambda x: x IS NOT NULL) AS p FROM {_TERMS})""")
+OR (length(ts[i]) >= 4 AND ts[i] NOT IN {_PROFILE_STOP} AND length(ts[i + 1]) >= 4 AND ts[i + 1] NOT IN {_PROFILE_STOP}) THEN ts[i] || ' ' || ts[i + 1] END), lambda x: x IS NOT NULL) AS p FROM {_TERMS})""")
 def query_phrases(spark, sf_dir):
     b = read(spark, sf_dir, "benchmark")
     return b.select(F.col("item_id").alias("query_id"), F.array_join(classify.phrases(F.col("text")), ",").alias("phrases"))
@@ -73,7 +74,7 @@ def profile_subject_score(spark, sf_dir):
     return lines.select("l_orderkey", "l_linenumber", F.round(profiles.subject_score(subject, detected), 6).alias("score"))
 
 
-_PROFILE = f"""p AS (SELECT source, stem FROM (SELECT source, {_stem('term')} AS stem, count(DISTINCT term) AS n FROM (SELECT source, unnest({_tok('text')}) AS term FROM documents) WHERE term NOT IN {_STOP} AND length(term) >= 4 AND regexp_matches(term, '[^0-9]') GROUP BY ALL)
+_PROFILE = f"""p AS (SELECT source, stem FROM (SELECT source, {_stem('term')} AS stem, count(DISTINCT term) AS n FROM (SELECT source, unnest({_tok('text')}) AS term FROM documents) WHERE term NOT IN {_PROFILE_STOP} AND length(term) >= 4 AND regexp_matches(term, '[^0-9]') GROUP BY ALL)
 QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, stem) <= 60)"""
 
 
@@ -143,14 +144,14 @@ def threshold_gate(spark, sf_dir):
     return evaluate.gate(means, {"recall": 0.9, "ndcg": 0.2}, {"mrr": 0.9}).select("metric", "passed")
 
 
-_KINDS = " ".join(f"WHEN regexp_matches(n, '{'|'.join(w.replace('_', ' ') for w in words.split())}') THEN '{kind}'" for kind, words in tx._KINDS.items())
+_KINDS = " ".join(f"WHEN regexp_matches(n, '{'|'.join(words)}') THEN '{kind}'" for kind, words in fixed.DOCUMENT_KINDS.items())
 
 
 @query(f"""WITH e AS (SELECT source, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM documents),
 f AS (SELECT source, string_agg(text, ' ' ORDER BY rank) AS t FROM e WHERE rank <= 8 GROUP BY 1),
 g AS (SELECT source, {_norm("source || ' ' || t")} AS n, length(regexp_replace(t, '[^а-яёА-ЯЁ]', '', 'g')) AS c, length(regexp_replace(t, '[^a-zA-Z]', '', 'g')) AS l FROM f),
 k AS (SELECT source, string_agg(stem, ' ' ORDER BY r) AS keywords FROM (SELECT source, stem, row_number() OVER (PARTITION BY source ORDER BY n DESC, stem) AS r FROM (SELECT source, {_stem('term')} AS stem, count(DISTINCT term) AS n
-  FROM (SELECT source, unnest({_tok('text')}) AS term FROM e WHERE rank <= 30) WHERE term NOT IN {_STOP} AND length(term) >= 4 AND regexp_matches(term, '[^0-9]') GROUP BY ALL) QUALIFY r <= 50) GROUP BY 1)
+  FROM (SELECT source, unnest({_tok('text')}) AS term FROM e WHERE rank <= 30) WHERE term NOT IN {_PROFILE_STOP} AND length(term) >= 4 AND regexp_matches(term, '[^0-9]') GROUP BY ALL) QUALIFY r <= 50) GROUP BY 1)
 SELECT source, CASE {_KINDS} ELSE 'unknown' END AS doc_type, CASE WHEN c > l * 1.5 AND c > 20 THEN 'ru' WHEN l > c * 1.5 AND l > 20 THEN 'en' ELSE 'unknown' END AS language, coalesce(keywords, '') AS keywords FROM g LEFT JOIN k USING (source)""")
 def document_profiles(spark, sf_dir):
     d = read(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("element_index"), F.col("text").alias("content"))
