@@ -54,3 +54,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def boxed(docs: DataFrame, **columns) -> DataFrame:
+    """``docs`` with each row in one struct column ``row`` beside ``columns``, so that no column of ``docs`` can clash with these; ``row.*`` unpacks it."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *(e.alias(n) for n, e in columns.items()))

@@ -3,15 +3,17 @@
 A fingerprint is one or more 64-bit words of majority bits over the hashes of a text's word shingles.
 Equal fingerprints are one class from the start, so that copies cost one row however many they are.
 
-Exact linking (``link_exact``): two fingerprints differ in at most two bits if and only if the Hamming
-balls of radius one round them meet. The balls are enumerated segment by segment (two segments of 32
-bits, the other segment kept), all fingerprints that reach the same word meet in one group, and complete
-distances are verified. A group never holds more than 65 different fingerprints, whatever the data, so no key is hot.
-
-Wide linking (``link_sets``), for similarities well below one, where fingerprints find only some of the pairs, is exact over the sets of
-shingles themselves. All shingles are put in one order, by how common they are; texts of a similarity t share one of the first
-n - ceil(t n) + 1 of their n shingles, so texts that share none are never compared. Members of a key are compared with its first, and
-those that are not connected by this with one another. The Jaccard similarity of a pair is computed from both sets.
+Exact linking (``link_exact``): a 64-bit fingerprint has two segments of 32 bits. Two fingerprints at two or fewer differing bits differ in at most
+one bit of one segment. A table holds each fingerprint under both segments; each fingerprint enumerates the ball of radius one in each segment,
+fetches the table's matches, and their complete distances are verified. A segment's value that more than CROWD fingerprints have is not
+fetched: its members and those that ask for it meet by the balls of radius one round their whole words, of which a group never holds more than 65.
+
+Linking by sets (``link_sets``), for similarities well below one, where segments of fingerprints find only some of the pairs (at a Jaccard similarity
+of 0.8 a fingerprint differs in every seventh bit; 97 % of the pairs would cost some 300 keys a text), is exact over the sets of shingles
+themselves. All shingles are put in one order, by how common they are; texts of a similarity t share one of the first n - ceil(t n) + 1 of
+their n shingles, 75 keys for an average text, so texts that share none are never compared. Fingerprints of 256 bits pass a pair on by their
+complete distance, and its similarity is computed from both sets. Each text is first compared with the one that most of its
+keys begin with; members of a key that are not connected by this are compared with one another, in blocks.
 """
 
 from __future__ import annotations
@@ -27,13 +29,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import drop, materialize
+from quillspark.llm.common import boxed, drop, materialize
 from quillspark.llm.components import connected_components
 
 _CHUNK = 1 << 16
 _MASK = (1 << 64) - 1
 #: Counts, by the highest bits of a shingle's hash, that put shingles in order: a table of fixed size, whose errors cost time but no pair.
 ORDER_BITS = 18
+#: Fingerprints of one segment value from which on it is split by whole words.
+CROWD = 64
+#: Words of the fingerprints of sets, and the distance up to which a pair is passed on. At a similarity of 0.8 the distance is 39 on average with a
+#: deviation of 6, so a pair is lost with a chance below 1e-7. Sets of fewer than SMALL shingles, whose bits are coarser, are all passed on.
+SET_WORDS, FAR, SMALL = 4, 72, 64
+#: Members of a key that are compared with others as one block.
+BLOCK = 256
 
 
 def _mixed(h: np.ndarray, word: int) -> np.ndarray:
@@ -92,26 +101,48 @@ def fingerprints(docs: DataFrame, keys: list[str], text_col: str = "text", shing
     return docs.select(*keys, F.col(text_col).cast("string").alias("_t")).mapInArrow(run, schema)
 
 
-def _ball(bits: int = 32) -> list[int]:
-    return [0] + [1 << i for i in range(bits)]
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 def link_exact(classes: DataFrame, column: str = "f0") -> DataFrame:
-    """Edges (u, v) that connect exactly the different fingerprints at two or fewer bits.
+    """Edges (u, v) that connect exactly the different fingerprints at two or fewer bits. ``classes`` has each fingerprint once.
 
-    ``classes`` has each fingerprint once. Members of a group differ pairwise in at most two bits, so chaining
-    them in order loses no connection and makes no pairs of all with all.
+    Of two fingerprints that differ in one bit of a segment only the one that lacks the bit asks for it.
     """
-    flips = sorted({b for b in _ball()} | {b << 32 for b in _ball()})  # balls in the low and in the high segment
-    flips = F.array(*(F.lit(x - (1 << 64) if x >> 63 else x) for x in flips))
-    keys = classes.select(F.col(column).alias("u"), F.explode(flips).alias("flip")).select("u", F.col("u").bitwiseXOR(F.col("flip")).alias("key"))
-    chained = keys.select("u", F.lag("u").over(Window.partitionBy("key").orderBy("u")).alias("v"))
-    return chained.where("v IS NOT NULL AND bit_count(u ^ v) <= 2")
+    half, low = 32, F.lit((1 << 32) - 1)
+    prints = classes.select(F.col(column).alias("u"))
+    segments = F.array(F.struct(F.lit(0).alias("s"), F.col("u").bitwiseAND(low).alias("x")), F.struct(F.lit(1).alias("s"), F.shiftrightunsigned("u", half).alias("x")))
+    split = prints.select("u", F.explode(segments).alias("g")).select("u", F.col("g.s").alias("s"), F.col("g.x").alias("x"))
+    numbered = lambda x: F.shiftleft(F.col("s").cast("long"), 40).bitwiseOR(x)
+    table = split.select(numbered(F.col("x")).alias("key"), F.col("u").alias("v"))
+    bits = F.array(*(F.lit(1 << b) for b in range(half)))
+    missing = F.filter(bits, lambda b: F.col("x").bitwiseAND(b) == 0)
+    ball = F.concat(F.array(F.col("x")), F.transform(missing, lambda b: F.col("x").bitwiseOR(b)))
+    asked = split.select("u", "s", F.explode(ball).alias("y")).select("u", numbered(F.col("y")).alias("key"))
+    crowded, _ = materialize(table.groupBy("key").count().where(F.col("count") > CROWD).select("key"), "crowded")
+    near = (F.col("u") != F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= 2)
+    edges = asked.join(table.join(crowded, "key", "left_anti"), "key").where(near).select("u", "v")
+    # what a crowded value has or is asked by meets by whole words
+    flips = F.array(*(F.lit(_signed(x)) for x in [0, *(1 << b for b in range(64))]))
+    many = asked.join(crowded, "key", "left_semi").select("u").distinct()
+    words = many.select("u", F.explode(flips).alias("flip")).select("u", F.col("u").bitwiseXOR(F.col("flip")).alias("key"))
+    chained = words.select("u", F.lag("u").over(Window.partitionBy("key").orderBy("u")).alias("v")).where(F.col("v").isNotNull() & near)
+    return edges.unionByName(chained)
+
+
+def set_fingerprint(hashes: np.ndarray) -> list[int]:
+    """SET_WORDS words of majority bits over the hashes of a set."""
+    counts = [np.unpackbits(_mixed(hashes, w).astype("<u8", copy=False).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for w in range(SET_WORDS)]
+    return np.packbits(np.array(counts) * 2 > len(hashes), axis=1, bitorder="little").view("<i8").ravel().tolist()
+
+
+_PRINT = [f"p{w}" for w in range(SET_WORDS)]
 
 
 def shingle_sets(docs: DataFrame, keys: list[str], text_col: str = "text", shingle: int = 5, seed: int = 42) -> DataFrame:
-    """(keys, d, n, hashes): the shingle set of each row of ``docs``, its size and a digest d that tells sets apart."""
-    added = [T.StructField("d", T.LongType()), T.StructField("n", T.LongType()), T.StructField("hashes", T.ArrayType(T.LongType()))]
+    """(keys, d, n, hashes, p0, ...): the shingle set of each row of ``docs``, its size, a digest d that tells sets apart, and its fingerprint."""
+    added = [T.StructField("d", T.LongType()), T.StructField("n", T.LongType()), T.StructField("hashes", T.ArrayType(T.LongType())), *(T.StructField(p, T.LongType()) for p in _PRINT)]
     schema, n = T.StructType([*(docs.schema[k] for k in keys), *added]), len(keys)
 
     def run(batches):
@@ -119,8 +150,9 @@ def shingle_sets(docs: DataFrame, keys: list[str], text_col: str = "text", shing
             sets = [shingle_set(t.as_py(), shingle, seed) for t in b.column(n)]
             digest = np.array([_mixed(x, 1).sum(dtype=np.uint64) for x in sets], dtype=np.uint64).view(np.int64)
             size = np.array([len(x) for x in sets], dtype=np.int64)
+            prints = np.array([set_fingerprint(x) for x in sets], dtype=np.int64).reshape(-1, SET_WORDS)
             hashes = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(np.concatenate([np.empty(0, dtype=np.uint64), *sets]).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(digest), pa.array(size), hashes], names=[f.name for f in schema])
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(digest), pa.array(size), hashes, *(pa.array(prints[:, w]) for w in range(SET_WORDS))], names=[f.name for f in schema])
 
     return docs.select(*keys, F.col(text_col).cast("string").alias("_t")).mapInArrow(run, schema)
 
@@ -150,33 +182,43 @@ def _common(sets: DataFrame) -> np.ndarray:
 
 
 def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
-    """(u, n, key): for each set the first of its shingles, rarest first, of which sets of this similarity share one."""
+    """(u, n, key): for each set the first of its shingles, rarest first, of which sets of this similarity share one. A task tells equal sets once."""
     common = _common(sets)
 
     def run(batches):
+        told = set()
         for b in batches:
-            values, size = _values(b.column(2)), b.column(1).to_numpy()
-            ends, keys = np.cumsum(size), [np.empty(0, dtype=np.int64)]
-            for end, n in zip(ends, size):
+            values, size, names = _values(b.column(2)), b.column(1).to_numpy(), b.column(0).to_numpy()
+            ends, keys, taken = np.cumsum(size), [np.empty(0, dtype=np.int64)], []
+            for end, n, d in zip(ends, size, names.tolist()):
+                if d in told:
+                    taken.append(0)
+                    continue
+                told.add(d)
                 x = values[end - n : end]
                 keys.append(x[np.argsort(common[_bucket(x)], kind="stable")[: n - math.ceil(similarity * n - 1e-9) + 1]])
-            taken = [len(k) for k in keys[1:]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), taken)), pa.array(np.repeat(size, taken)), pa.array(np.concatenate(keys))], names=["u", "n", "key"])
+                taken.append(len(keys[-1]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, taken)), pa.array(np.repeat(size, taken)), pa.array(np.concatenate(keys))], names=["u", "n", "key"])
 
     return sets.select("d", "n", "hashes").where("n > 0").mapInArrow(run, "u long, n long, key long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose sets have a Jaccard similarity of ``similarity`` or more."""
+    """The pairs (u, v) whose sets have a Jaccard similarity of ``similarity`` or more.
+
+    First the fingerprints of both are compared; then only the sets of pairs that are left are shuffled, 32 bits of each hash.
+    """
     spark = sets.sparkSession
-    pairs, pairs_path = materialize(pairs.select("u", "v").distinct(), "pairs")
+    prints = sets.select("d", "n", *_PRINT).dropDuplicates(["d"])
+    side = lambda t, name: t.select(*(F.col(x).alias(name if x == "d" else f"{name}_{x}") for x in t.columns))
+    distance = sum((F.bit_count(F.col(f"u_{p}").bitwiseXOR(F.col(f"v_{p}"))) for p in _PRINT), F.lit(0))
+    pairs = pairs.select("u", "v").distinct().join(side(prints, "u"), "u").join(side(prints, "v"), "v").where((distance <= FAR) | (F.least("u_n", "v_n") < SMALL))
+    pairs, pairs_path = materialize(pairs.select("u", "v"), "pairs")
     wanted, wanted_path = materialize(pairs.select(F.col("u").alias("d")).unionByName(pairs.select(F.col("v").alias("d"))).distinct(), "wanted")
-    # only the sets of pairs are shuffled, once for both sides
-    sides = sets.select("d", "n", "hashes").join(wanted, "d", "left_semi").dropDuplicates(["d"])
-    side = lambda name: sides.select(F.col("d").alias(name), F.col("n").alias(f"{name}_n"), F.col("hashes").alias(f"{name}_h"))
+    whole = sets.join(wanted, "d", "left_semi").groupBy("d").agg(F.first("n").alias("n"), F.first(F.transform("hashes", lambda h: F.shiftright(h, 32).cast("int"))).alias("h"))
     both = F.size(F.array_intersect("u_h", "v_h"))
     near = both >= similarity * (F.col("u_n") + F.col("v_n") - both) - 1e-9
-    found, _ = materialize(pairs.join(side("u"), "u").join(side("v"), "v").where(near).select("u", "v"), "near")
+    found, _ = materialize(pairs.join(side(whole, "u"), "u").join(side(whole, "v"), "v").where(near).select("u", "v"), "near")
     drop(spark, pairs_path)
     drop(spark, wanted_path)
     return found
@@ -185,22 +227,30 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 def link_sets(sets: DataFrame, similarity: float) -> DataFrame:
     """Edges (u, v) that connect, by d, exactly the sets that pairs of ``similarity`` or more connect.
 
-    Two members of a key that the first round has put into one component need not be compared; all others are, so only a
-    key that very many sets share of which no two are near costs all its pairs.
+    Two members of a key that are in one component already need not be compared; all others are, so only a key that very many sets
+    share of which no two are near costs all its pairs.
     """
-    by_key = Window.partitionBy("key").orderBy("u")
-    met = _prefixes(sets, similarity).select("key", "u", "n", F.first(F.struct("u", "n")).over(by_key).alias("first"), F.lag("u").over(by_key).alias("before"))
-    met, _ = materialize(met.where("before <> u AND first.u <> u").select("key", "u", "n", F.col("first.u").alias("v"), F.col("first.n").alias("v_n")), "met")
+    spark, by_key = sets.sparkSession, Window.partitionBy("key")
+    ordered = by_key.orderBy("u")
+    met = _prefixes(sets, similarity).select("key", "u", "n", F.first(F.struct("u", "n")).over(ordered).alias("first"), F.lag("u").over(ordered).alias("before"), F.max("u").over(by_key).alias("last"))
+    met = met.where("last <> first.u AND (before IS NULL OR before <> u)").select("key", "u", "n", F.col("first.u").alias("v"), F.col("first.n").alias("v_n"))
+    met, met_path = materialize(met, "met")
     sized = lambda a, b: F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
-    near = _verified(met.where(sized(F.col("n"), F.col("v_n"))), sets, similarity)
-    linked = connected_components(near)
-    rest = met.join(linked, met["u"] == linked["node"], "left").select("key", "u", "n", F.coalesce("component", "u").alias("c"))
+    often = met.where((F.col("u") != F.col("v")) & sized(F.col("n"), F.col("v_n"))).groupBy("u", "v").count()
+    best = often.groupBy("u").agg(F.max(F.struct("count", "v")).alias("m")).select("u", F.col("m.v").alias("v"))
+    near = _verified(best, sets, similarity)
+    linked, _ = materialize(connected_components(near), "linked")
+    rest = met.select("key", "u", "n").join(linked, met["u"] == linked["node"], "left").select("key", "u", "n", F.coalesce("component", "u").alias("c"))
     apart = rest.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("key")
-    rest = rest.join(apart, "key").groupBy("key", "c").agg(F.collect_list(F.struct("u", "n")).alias("m"))
-    rest, _ = materialize(rest, "rest")
-    left, right = rest.select("key", F.col("c").alias("a"), F.explode("m").alias("x")), rest.select("key", F.col("c").alias("b"), F.col("m").alias("ys"))
+    rest, rest_path = materialize(rest.join(apart, "key"), "rest")
+    sizes = rest.groupBy("key", "c").count()
+    blocks = rest.join(sizes, ["key", "c"]).withColumn("block", F.pmod(F.xxhash64("u"), F.ceil(F.col("count") / BLOCK))).groupBy("key", "c", "block").agg(F.collect_list(F.struct("u", "n")).alias("ys"))
+    left, right = rest.select("key", F.col("c").alias("a"), F.struct("u", "n").alias("x")), blocks.select("key", F.col("c").alias("b"), "ys")
     pairs = left.join(right, "key").where("a < b").select("x", F.explode("ys").alias("y")).where(sized(F.col("x.n"), F.col("y.n")))
-    return near.unionByName(_verified(pairs.select(F.least("x.u", "y.u").alias("u"), F.greatest("x.u", "y.u").alias("v")), sets, similarity))
+    more = _verified(pairs.select(F.least("x.u", "y.u").alias("u"), F.greatest("x.u", "y.u").alias("v")), sets, similarity)
+    drop(spark, met_path)
+    drop(spark, rest_path)
+    return near.unionByName(more)
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
@@ -225,31 +275,37 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def groups(docs: DataFrame, keys: list[str], text_col: str = "text", shingle: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
     """(keys, component, component_id): groups of near-duplicates by shingles of five words and a Jaccard similarity of 0.8 or more.
 
-    Equal sets are one class from the start; texts without words are one class. component_id is the smallest first key of the group (a long); rows whose first key is null are left out.
+    Equal sets are one class from the start; texts without words (null or empty) are one class; very long texts count whole. component_id is the
+    smallest first key of the group (a long); rows whose first key is null are left out. Repeated rows keep their rows; an empty table gives none.
     """
-    sets, _ = materialize(shingle_sets(docs.where(F.col(keys[0]).isNotNull()), keys, text_col, shingle, seed), "sets")
-    linked = connected_components(link_sets(sets, similarity))
-    classes = sets.groupBy("d").agg(F.min(keys[0]).cast("long").alias("rep"))
+    sets, path = materialize(shingle_sets(docs.where(F.col(keys[0]).isNotNull()), keys, text_col, shingle, seed), "sets")
+    linked, _ = materialize(connected_components(link_sets(sets, similarity)), "linked")
+    slim, _ = materialize(sets.select(*keys, "d"), "digests")
+    drop(docs.sparkSession, path)
+    classes = slim.groupBy("d").agg(F.min(keys[0]).cast("long").alias("rep"))
     joined = classes.join(linked, classes["d"] == linked["node"], "left").select("d", "rep", F.coalesce("component", "d").alias("component"))
-    least = joined.groupBy("component").agg(F.min("rep").alias("component_id"))
-    by_class = joined.join(least, "component").select("d", "component", "component_id")
-    return sets.select(*keys, "d").join(by_class, "d").select(*keys, "component", "component_id")
+    # a group with very many sets is aggregated before the shuffle, and only sets with a link meet the names of their groups
+    least = joined.where("component <> d").groupBy("component").agg(F.min("rep").alias("rep"))
+    least = least.join(classes.withColumnRenamed("rep", "own"), least["component"] == classes["d"]).select("component", F.least("rep", "own").alias("least"))
+    by_class = joined.join(least, "component", "left").select("d", "component", F.coalesce("least", "rep").alias("component_id"))
+    by_class, _ = materialize(by_class, "classes")
+    return slim.join(by_class, "d").select(*keys, "component", "component_id")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each group: the one with the smallest id (and then text hash). Rows alike in id and text are one row.
 
-    Rows with a null id all stay. Only the keys of rows that go are joined with the documents, so that they move in a shuffle only if these keys are many.
+    Rows with a null id all stay. Null and empty texts are one group; very long texts are compared whole; an empty table gives an empty result; other
+    columns, whatever their names, are passed on. Only the keys of rows that go are joined with the documents.
     """
-    keyed = docs.withColumn("_text", F.xxhash64(F.col(text_col).cast("string")))
-    found, _ = materialize(groups(keyed, [id_col, "_text"], text_col, **options), "groups")
-    keys = found.groupBy("component", id_col, "_text").count()
-    first = keys.groupBy("component").agg(F.min(F.struct(id_col, "_text")).alias("f"))
+    keyed = boxed(docs, id=F.col(id_col), hash=F.xxhash64(F.col(text_col).cast("string")))
+    found, _ = materialize(groups(keyed.select("id", "hash", F.col(f"row.{text_col}").alias("text")), ["id", "hash"], "text", **options), "groups")
+    keys = found.groupBy("component", "id", "hash").count()
+    first = keys.groupBy("component").agg(F.min(F.struct("id", "hash")).alias("f"))
     told = keys.join(first, "component")
-    stays = (F.col(id_col) == F.col(f"f.{id_col}")) & (F.col("_text") == F.col("f._text"))
-    gone, _ = materialize(told.where(~stays | (F.col("count") > 1)).select(F.col(id_col).alias("_g"), F.col("_text").alias("_gt")).distinct(), "gone")
-    repeated, _ = materialize(told.where(stays & (F.col("count") > 1)).select(F.col(id_col).alias("_g"), F.col("_text").alias("_gt")), "repeated")
-    on = lambda other: (F.col(id_col) == F.col("_g")) & (F.col("_text") == F.col("_gt"))
-    single = keyed.join(gone, on(gone), "left_anti")
-    merged = keyed.join(repeated, on(repeated), "left_semi").dropDuplicates([id_col, "_text"])
-    return single.unionByName(merged).select(docs.columns)
+    stays = (F.col("id") == F.col("f.id")) & (F.col("hash") == F.col("f.hash"))
+    gone, _ = materialize(told.where(~stays | (F.col("count") > 1)).select("id", "hash").distinct(), "gone")
+    repeated, _ = materialize(told.where(stays & (F.col("count") > 1)).select("id", "hash"), "repeated")
+    single = keyed.join(gone, ["id", "hash"], "left_anti")
+    merged = keyed.join(repeated, ["id", "hash"], "left_semi").dropDuplicates(["id", "hash"])
+    return single.unionByName(merged).select("row.*")
