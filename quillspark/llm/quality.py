@@ -1,9 +1,8 @@
 """Quality rules: statistics of each document, and lines that too many documents of a host share.
 
 All of it is DataFrame expressions. Arrays of words stay inside a row, so that statistics need no shuffle. Only (host, line
-hash) rows are shuffled for the line frequencies. Documents that are otherwise alike (copies and near copies) count
-once for a line, so a group of copies doesn't make its own lines frequent. ``clean`` tells them by ``frequent_lines``; ``rules`` as ``SQL`` fixes
-it, by the smallest hash among the document's other lines, which takes documents that share several lines for copies.
+hash) rows are shuffled for the line frequencies. Different documents of a host are counted for each line: copies are one document, and near copies,
+which share all but a few of their words, are one document too, so that a group of copies doesn't make its own lines frequent.
 """
 
 from __future__ import annotations
@@ -11,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import SPACES, materialize, text_or_empty
+from quillspark.llm.common import SPACES, boxed, materialize, text_or_empty
 
 #: A line is removed when more otherwise different documents of its host have it.
 LINE_LIMIT = 20
@@ -76,79 +75,75 @@ def statistics(docs: DataFrame, text_col: str = "text") -> list[Column]:
     ]
 
 
-def _key(id_col: str, text_col: str) -> list[Column]:
-    """What tells rows apart: the id, and the text's hash where ids repeat."""
-    return [F.col(id_col).alias("_id"), F.xxhash64(text_or_empty(text_col)).alias("_text")]
-
-
-def frequent_lines(rows: DataFrame, line_limit: int) -> DataFrame:
-    """(_host, h): the lines that more than ``line_limit`` different documents of their host have.
+def frequent_lines(rows: DataFrame, line_limit: int = LINE_LIMIT) -> DataFrame:
+    """(host, h): the lines that more than ``line_limit`` different documents of their host have. ``rows`` has host, hash (of the text), lines.
 
     Exact copies are one document. Of a document, lines that at most ``line_limit`` texts of the host have are its own; it is told from others by the
     smallest hash of these, or, if they hold no more than one in OWN_SHARE of its words (a near copy), by the rarest line that it shares.
     """
-    each = rows.select(F.coalesce("_host", F.lit("")).alias("_host"), "_text", F.explode("_lines").alias("x")).select("_host", "_text", "x.h", "x.n")
-    shared = each.select("_host", "h", "_text").distinct().groupBy("_host", "h").agg(F.count("*").alias("docs")).where(f"docs > {line_limit}")
+    each = rows.select("host", "hash", F.explode("lines").alias("x")).select("host", "hash", "x.h", "x.n")
+    shared = each.select("host", "h", "hash").distinct().groupBy("host", "h").agg(F.count("*").alias("docs")).where(f"docs > {line_limit}")
     shared, _ = materialize(shared, "shared")
-    own, short = F.col("docs").isNull(), F.xxhash64("h").bitwiseAND(F.lit(0xFFFFFFFF))
-    found = each.join(shared, ["_host", "h"], "left").groupBy("_host", "_text").agg(
+    own = F.col("docs").isNull()
+    found = each.join(shared, ["host", "h"], "left").groupBy("host", "hash").agg(
         (OWN_SHARE * F.coalesce(F.sum(F.when(own, F.col("n"))), F.lit(0)) > F.sum("n")).alias("differs"),
-        F.min(F.when(own, F.xxhash64("h"))).alias("own"),
-        F.min(F.when(~own, F.shiftleft("docs", 32).bitwiseOR(short))).alias("rarest"),
+        F.min(F.when(own, F.col("h"))).alias("own"),
+        F.min(F.when(~own, F.concat(F.lpad(F.col("docs").cast("string"), 20, "0"), "h"))).alias("rarest"),
     )
-    signs = found.where("rarest IS NOT NULL").select("_host", "_text", "differs", F.when(F.col("differs"), F.col("own")).otherwise(F.col("rarest")).alias("sign"))
-    hits = each.join(shared, ["_host", "h"]).select("_host", "h", "_text").distinct().join(signs, ["_host", "_text"])
-    return hits.select("_host", "h", "differs", "sign").distinct().groupBy("_host", "h").count().where(f"count > {line_limit}").select("_host", "h")
+    signs = found.where("rarest IS NOT NULL").select("host", "hash", "differs", F.when(F.col("differs"), F.col("own")).otherwise(F.col("rarest")).alias("sign"))
+    hits = each.join(shared, ["host", "h"]).select("host", "h", "hash").distinct().join(signs, ["host", "hash"])
+    return hits.select("host", "h", "differs", "sign").distinct().groupBy("host", "h").count().where(f"count > {line_limit}").select("host", "h")
 
 
-def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_limit: int = LINE_LIMIT, as_sql: bool = False) -> DataFrame:
-    """One row for each row of ``docs``: _id, _text, the statistics, base_failed, removed_words, removed (line hashes), kept.
+def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_limit: int = LINE_LIMIT) -> DataFrame:
+    """(id, hash, host, alike, the statistics, removed_words, removed, base_failed, kept): one row for the rows of ``docs`` that are alike in id, text and host.
 
-    Null texts have no words and fail; null hosts are one host; rows that repeat an id are judged each by its own text. An
-    empty table gives an empty result; other columns are ignored. With ``as_sql`` documents of a line are told apart as SQL does, else by ``frequent_lines``.
+    ``alike`` says how many they are, ``removed`` has the hashes of the lines to be taken out (null if none). Null texts have no words and fail; null hosts are
+    one host, the same as an empty name; rows that repeat an id are judged each by its own text; very long texts are judged whole; ties have no part in it. An
+    empty table gives an empty result; other columns, whatever their names, are ignored.
     """
     hashed = lambda x: F.struct(line_hash(x).alias("h"), F.size(words(x)).alias("n"))
-    rows = docs.select(*_key(id_col, text_col), F.col(host_col).cast("string").alias("_host"), *statistics(docs, text_col), F.transform(lines(text_or_empty(text_col)), hashed).alias("_lines"))
-    rows, _ = materialize(rows.select("_id", "_text", "_host", "_w.*", "n_symbols", "n_dup_lines", "_lines"), "quality")
-    told = rows.select("_id", "_text", F.coalesce("_host", F.lit("")).alias("_host"), F.slice(F.array_sort(F.array_distinct(F.transform("_lines", lambda x: x["h"]))), 1, 2).alias("_least"), F.explode("_lines").alias("x"))
-    each = told.select("_id", "_text", "_host", F.col("x.h").alias("h"), F.col("x.n").alias("n"), F.when(F.get("_least", F.lit(0)) == F.col("x.h"), F.coalesce(F.get("_least", F.lit(1)), F.lit(""))).otherwise(F.get("_least", F.lit(0))).alias("sign"))
-    if as_sql:
-        once = each.select("_id", "_text", "_host", "h", "sign").distinct()
-        counts = once.groupBy("_host", "h", "sign").count().groupBy("_host", "h").agg(F.sum("count").alias("docs"), F.count("*").alias("different"))
-        frequent = counts.where(f"different > {line_limit} AND 2 * different >= docs").select("_host", "h")
-    else:
-        frequent = frequent_lines(rows, line_limit)
-    per_row = each.groupBy("_id", "_text", "_host", "h").agg(F.sum("n").alias("n"))
-    removed = per_row.join(frequent, ["_host", "h"]).groupBy("_id", "_text", "_host").agg(F.sum("n").alias("n"), F.collect_list("h").alias("removed"))
-    # rows that are alike in id, text and host were summed together: each of them has its share
-    alike = rows.groupBy("_id", "_text", "_host").agg(F.count("*").alias("alike"), *(F.min(c).alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")))
-    removed = removed.withColumnRenamed("_id", "r_id").withColumnRenamed("_text", "r_text").withColumnRenamed("_host", "r_host")
-    on = alike["_id"].eqNullSafe(removed["r_id"]) & (alike["_text"] == removed["r_text"]) & (F.coalesce(alike["_host"], F.lit("")) == removed["r_host"])
+    text = text_or_empty(text_col)
+    host = F.coalesce(F.col(host_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"), host.alias("host"), *statistics(docs, text_col), F.transform(lines(text), hashed).alias("lines"))
+    rows, path = materialize(rows.select("id", "hash", "host", "_w.*", "n_symbols", "n_dup_lines", "lines"), "quality")
+    frequent, _ = materialize(frequent_lines(rows, line_limit), "frequent")
+    each = rows.select("id", "hash", "host", F.explode("lines").alias("x")).select("id", "hash", "host", "x.h", "x.n")
+    removed = each.join(frequent, ["host", "h"]).groupBy("id", "hash", "host", "h").agg(F.sum("n").alias("n")).groupBy("id", "hash", "host").agg(F.sum("n").alias("n"), F.collect_list("h").alias("removed"))
+    removed, _ = materialize(removed.select(F.col("id").alias("r_id"), F.col("hash").alias("r_hash"), F.col("host").alias("r_host"), "n", "removed"), "removed")
+    # rows that are alike were summed together: each of them has its share
+    alike = rows.groupBy("id", "hash", "host").agg(F.count("*").alias("alike"), *(F.min(c).alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")))
+    on = F.col("id").eqNullSafe(F.col("r_id")) & (F.col("hash") == F.col("r_hash")) & (F.col("host") == F.col("r_host"))
     out = alike.join(removed, on, "left").withColumn("removed_words", F.coalesce(F.col("n") / F.col("alike"), F.lit(0)).cast("long"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     out = out.withColumn("base_failed", failed).withColumn("kept", ~failed & (100 * F.col("removed_words") <= DEPLETED * F.col("n_words")))
-    return out.drop("n", "r_id", "r_text", "r_host")
+    return out.drop("n", "r_id", "r_hash", "r_host")
 
 
 def rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, removed_words, kept): one row for each row of ``docs``."""
-    found = verdicts(docs, id_col, text_col, host_col, as_sql=True).withColumn("_", F.explode(F.array_repeat(F.lit(0), F.col("alike").cast("int"))))
-    return found.select(F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "kept")
+    found = verdicts(docs, id_col, text_col, host_col).withColumn("_", F.explode(F.array_repeat(F.lit(0), F.col("alike").cast("int"))))
+    return found.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "kept")
 
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", chars_col: str | None = "n_chars") -> DataFrame:
-    """``docs`` without the rejected rows and without the lines that are too frequent in their host."""
+    """``docs`` without the rejected rows and without the lines that are too frequent in their host; ``chars_col``, if there is one, follows the text.
+
+    Nulls, repeats, long texts and empty tables are treated as ``verdicts`` says; columns of any names are passed on.
+    """
     found = verdicts(docs, id_col, text_col, host_col).where("NOT kept OR removed IS NOT NULL")
     # only the rows that go or change are joined: the documents move in a shuffle only if these are many
-    judged, _ = materialize(found.select(F.col("_id").alias("k_id"), F.col("_text").alias("k_text"), F.col("_host").alias("k_host"), F.col("kept").alias("k_kept"), "removed"), "judged")
-    keyed = docs.withColumn("_text", F.xxhash64(text_or_empty(text_col)))
-    on = keyed[id_col].eqNullSafe(judged["k_id"]) & (keyed["_text"] == judged["k_text"]) & keyed[host_col].cast("string").eqNullSafe(judged["k_host"])
-    kept = keyed.join(judged, on, "left").where("k_kept IS NULL OR k_kept")
-    rest = F.array_join(F.filter(F.split(text_col, "\n"), lambda x: ~(x.rlike(f"[^{SPACES}]") & F.array_contains("removed", line_hash(x)))), "\n")
-    kept = kept.withColumn(text_col, F.when(F.col("removed").isNull(), F.col(text_col)).otherwise(rest))
+    judged, _ = materialize(found.select(F.col("id").alias("k_id"), F.col("hash").alias("k_hash"), F.col("host").alias("k_host"), "kept", "removed"), "judged")
+    keyed = boxed(docs, id=F.col(id_col), hash=F.xxhash64(text_or_empty(text_col)), host=F.coalesce(F.col(host_col).cast("string"), F.lit("")))
+    on = F.col("id").eqNullSafe(F.col("k_id")) & (F.col("hash") == F.col("k_hash")) & (F.col("host") == F.col("k_host"))
+    left = keyed.join(judged, on, "left").where("kept IS NULL OR kept")
+    text, whole = F.col("row").getField(text_col), F.col("removed").isNull()
+    rest = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~(x.rlike(f"[^{SPACES}]") & F.array_contains("removed", line_hash(x)))), "\n")
+    left = left.withColumn("new", F.when(whole, text).otherwise(rest))
+    own = {text_col: F.col("new")}
     if chars_col in docs.columns:
-        kept = kept.withColumn(chars_col, F.when(F.col("removed").isNull(), F.col(chars_col)).otherwise(F.length(text_col)).cast(docs.schema[chars_col].dataType))
-    return kept.select(docs.columns)
+        own[chars_col] = F.when(whole, F.col("row").getField(chars_col)).otherwise(F.length("new").cast(docs.schema[chars_col].dataType))
+    return left.select(*(own.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 _WORD = r"[^\x20\x09-\x0D]"
@@ -160,9 +155,14 @@ g8 AS (SELECT doc_id, i, array_to_string(words[i:i + {WINDOW - 1}], ' ') AS s FR
 hit AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS c FROM g8) WHERE c > 1),
 rep AS (SELECT doc_id, sum(least({WINDOW}, coalesce(i - before, {WINDOW}))) AS n FROM hit GROUP BY doc_id),
 e AS (SELECT doc_id, host, substr(md5(lower(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g')))), 1, 16) AS h, len(regexp_extract_all(x, '{_WORD}+')) AS n FROM (SELECT doc_id, host, unnest(ls) AS x FROM w)),
-o AS (SELECT doc_id, list_sort(list(DISTINCT h)) AS hs FROM e GROUP BY doc_id),
-s AS (SELECT DISTINCT e.doc_id, host, h, CASE WHEN hs[1] = h THEN coalesce(hs[2], '') ELSE hs[1] END AS sign FROM e JOIN o USING (doc_id)),
-f AS (SELECT host, h FROM s GROUP BY host, h HAVING count(DISTINCT sign) > {LINE_LIMIT} AND 2 * count(DISTINCT sign) >= count(*)),
+x AS (SELECT doc_id, md5(t) AS th FROM w),
+l AS (SELECT doc_id, e.host, th, h, n FROM e JOIN x USING (doc_id)),
+once AS (SELECT DISTINCT host, th, h FROM l),
+sh AS (SELECT host, h, count(*) AS docs FROM once GROUP BY ALL HAVING count(*) > {LINE_LIMIT}),
+found AS (SELECT host, th, {OWN_SHARE} * coalesce(sum(n) FILTER (docs IS NULL), 0) > sum(n) AS differs, min(h) FILTER (docs IS NULL) AS own, min(lpad(CAST(docs AS VARCHAR), 20, '0') || h) FILTER (docs IS NOT NULL) AS rarest
+  FROM l LEFT JOIN sh USING (host, h) GROUP BY host, th),
+s AS (SELECT host, th, differs, CASE WHEN differs THEN own ELSE rarest END AS sign FROM found WHERE rarest IS NOT NULL),
+f AS (SELECT host, h FROM (SELECT DISTINCT host, h, differs, sign FROM once JOIN sh USING (host, h) JOIN s USING (host, th)) GROUP BY host, h HAVING count(*) > {LINE_LIMIT}),
 gone AS (SELECT doc_id, sum(n) AS n FROM e SEMI JOIN f USING (host, h) GROUP BY doc_id),
 r AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
   CAST(length(t) - length(regexp_replace(t, '{_SYMBOLS}', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,

@@ -92,3 +92,24 @@ def test_several_shared_lines_are_all_removed(spark):
     got = {r.doc_id: r.text for r in quality.clean(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     # five shared lines and one own: the documents are depleted
     assert got == want
+
+
+def test_the_query_removes_all_of_several_shared_lines(spark):
+    line = lambda name: " ".join(f"{name}x{k}" for k in range(10))
+    rows = [(i, "\n".join([line("a"), line("b"), line("c"), *(line(f"d{i}o{k}") for k in range(3))]), "h") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {r.removed_words for r in quality.rules(docs).collect()} == {30}
+    con = duckdb.connect()
+    documents = docs.toPandas()  # noqa: F841
+    con.register("documents", documents)
+    assert sorted(con.sql(quality.SQL).fetchall()) == sorted(map(tuple, quality.rules(docs).collect()))
+
+
+def test_names_that_clash(spark):
+    footer, names = "one footer of many words that all pages of this host have in common", ["id", "hash", "host", "row", "removed", "kept", "new", "_text", "k_id", "lines", "h", "n"]
+    own = lambda i: " ".join(f"word{i}x{k}" for k in range(30))
+    rows = [(i, own(i) + "\n" + footer, "a", *[f"v{i}"] * len(names)) for i in range(25)]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id long, text string, source string", *(f"{n} string" for n in names)]))
+    got = quality.clean(docs)
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == [(i, own(i), *r) for i, _, *r in rows]
+    assert quality.rules(docs).count() == 25
