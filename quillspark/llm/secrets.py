@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialize, text_or_empty
+from quillspark.llm.common import boxed, materialize, text_or_empty
 from quillspark.llm.quality import bind
 
 BASE = ("assign", "access", "hex")
@@ -94,8 +94,8 @@ def _scanned(docs: DataFrame, keys: list[Column], text_col: str) -> tuple[DataFr
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, spans): one row for each row of ``docs``; spans by start and then kind, in code points, end exclusive.
 
-    Null and empty texts have no spans; null and repeated ids keep their rows, each with the spans of its own text; other
-    columns are ignored; an empty table gives an empty result.
+    Null and empty texts have no spans; null and repeated ids keep their rows, each with the spans of its own text; very long texts are
+    scanned whole; spans that start together are in the order of KINDS; other columns are ignored; an empty table gives an empty result.
     """
     rows, found = _scanned(docs, [F.col(id_col).alias("_id")], text_col)
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
@@ -117,25 +117,24 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every reported span replaced by ``mark`` (spans that overlap or touch by one).
+    """``docs`` with every reported span replaced by ``mark`` (spans that overlap or touch by one); ``chars_col``, if there is one, follows the text.
 
-    Only texts with a match of some pattern meet the spans in a join; the others pass by unchanged. Rows that repeat id and text are alike and get the same text.
+    Only texts with a match of some pattern meet the spans in a join; the others, null and empty ones too, pass by unchanged. Rows that repeat id and text are
+    alike and get the same text; very long texts are treated whole; columns of any names are passed on; an empty table gives an empty result.
     """
     any_match = text_or_empty(text_col).rlike("|".join(f"(?:{p})" for _, p, _ in PATTERNS))
-    keys = [F.col(id_col).alias("_id"), F.xxhash64(text_or_empty(text_col)).alias("_text")]
-    suspects = docs.where(any_match)
-    rows, found = _scanned(suspects, keys, text_col)
+    suspects = boxed(docs.where(any_match), id=F.col(id_col), hash=F.xxhash64(text_or_empty(text_col)), t=F.col(text_col).cast("string"))
+    rows, found = _scanned(suspects, [F.col("id"), F.col("hash")], "t")
     before = Window.partitionBy("uid").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     fresh = F.coalesce((F.col("start") > F.max("end").over(before)).cast("int"), F.lit(1))
     run = F.sum("fresh").over(Window.partitionBy("uid").orderBy("start", "end"))
     merged = found.withColumn("fresh", fresh).withColumn("run", run).groupBy("uid", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     cuts = merged.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cuts"))
-    cuts = rows.join(cuts, "uid").groupBy("_id", "_text").agg(F.min("cuts").alias("cuts"))
-    keyed = suspects.withColumn("_text", keys[1])
-    joined = keyed.join(cuts, keyed[id_col].eqNullSafe(cuts["_id"]) & (keyed["_text"] == cuts["_text"]), "left")
-    gap = lambda i: F.substring(F.col(text_col), F.coalesce(F.get("cuts", i - 1)["end"], F.lit(0)) + 1, F.coalesce(F.get("cuts", i)["start"], F.length(text_col)) - F.coalesce(F.get("cuts", i - 1)["end"], F.lit(0)))
-    text = F.array_join(F.transform(F.sequence(F.lit(0), F.size("cuts")), gap), mark)
-    changed = joined.withColumn(text_col, F.when(F.col("cuts").isNull(), F.col(text_col)).otherwise(text))
+    cuts = rows.join(cuts, "uid").groupBy("id", "hash").agg(F.min("cuts").alias("cuts")).select(F.col("id").alias("c_id"), F.col("hash").alias("c_hash"), "cuts")
+    joined = suspects.join(cuts, F.col("id").eqNullSafe(F.col("c_id")) & (F.col("hash") == F.col("c_hash")), "left")
+    gap = lambda i: F.substring(F.col("t"), F.coalesce(F.get("cuts", i - 1)["end"], F.lit(0)) + 1, F.coalesce(F.get("cuts", i)["start"], F.length("t")) - F.coalesce(F.get("cuts", i - 1)["end"], F.lit(0)))
+    changed = joined.withColumn("new", F.when(F.col("cuts").isNull(), F.col("t")).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.size("cuts")), gap), mark)))
+    own = {text_col: F.col("new")}
     if chars_col in docs.columns:
-        changed = changed.withColumn(chars_col, F.when(F.col("cuts").isNull(), F.col(chars_col)).otherwise(F.length(text_col)).cast(docs.schema[chars_col].dataType))
-    return docs.where(~any_match).unionByName(changed.select(docs.columns))
+        own[chars_col] = F.when(F.col("cuts").isNull(), F.col("row").getField(chars_col)).otherwise(F.length("new").cast(docs.schema[chars_col].dataType))
+    return docs.where(~any_match).unionByName(changed.select(*(own.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns)))
