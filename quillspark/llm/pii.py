@@ -1,7 +1,7 @@
 """Personal data in texts: regular expressions propose, checksums confirm, context words adjust the score.
 
 Kinds with a fixed definition (always reported once their check passes): email, ip, card, phone. The method
-adds iban (mod-97), national (telephone numbers without a country prefix) and ssn (only next to context words).
+adds iban (mod-97), national (telephone numbers without a country prefix) and ssn; words near them decide whether their scores reach THRESHOLD.
 All patterns work in linear time: a run that can't begin a match is consumed whole, so no text makes them backtrack.
 """
 
@@ -28,14 +28,17 @@ _EMAIL = re.compile(r"[A-Za-z0-9._%+-]++(@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++)?
 _IP = re.compile(r"[0-9]++(\.[0-9]++\.[0-9]++\.[0-9]++)?")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])*+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
 _NATIONAL = re.compile(r"\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _DIGIT = re.compile(r"[0-9]")
 
 _IBAN_LENGTH = dict(AT=20, BE=16, BG=22, CH=21, CY=28, CZ=24, DE=22, DK=18, EE=20, ES=24, FI=18, FR=27, GB=22, GR=27, HR=21, HU=28, IE=22, IS=26, IT=27, LI=21, LT=20, LU=20, LV=21, MC=27, MT=31, NL=18, NO=15, PL=28, PT=25, RO=24, SE=24, SI=19, SK=24)
+_BY_LENGTH = {n: "|".join(c for c, m in _IBAN_LENGTH.items() if m == n) for n in sorted(set(_IBAN_LENGTH.values()))}
+_IBAN = re.compile("(?<![A-Za-z0-9])(?:" + "|".join(f"(?:{c})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in _BY_LENGTH.items()) + ")")
+
+#: Words near a span that raise its score, and words that lower it: whole words, a phrase with its spaces.
 _WORDS = {
-    "email": ("mail", "contact", "write"),
+    "email": ("mail", "email", "e-mail", "contact", "write"),
     "ip": ("address", "host", "server", "client"),
     "card": ("card", "visa", "credit", "debit", "payment", "karte", "carte", "tarjeta"),
     "phone": ("phone", "call", "tel", "fax", "mobile", "telefon", "cell"),
@@ -43,7 +46,11 @@ _WORDS = {
     "national": ("phone", "call", "tel", "fax", "mobile", "telefon", "cell"),
     "ssn": ("ssn", "social security", "taxpayer"),
 }
-_PRIOR = {"email": 0.9, "ip": 0.7, "card": 0.9, "phone": 0.8, "iban": 0.9, "national": 0.6, "ssn": 0.3}
+_AGAINST = ("part", "item", "order", "serial", "version", "model", "sku", "isbn", "checksum")
+_PRIOR = {"email": 0.9, "ip": 0.7, "card": 0.9, "phone": 0.8, "iban": 0.75, "national": 0.6, "ssn": 0.3}
+#: What a word for or against a span adds to its prior or takes from it. Only spans that the method adds can fall below THRESHOLD.
+RAISED, LOWERED = 0.3, 0.3
+_WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 
 
 def luhn(digits: str) -> bool:
@@ -85,14 +92,12 @@ def _proposed(text: str):
             if 10 <= len(_DIGIT.findall(m[0])) <= 15:
                 phones.append((m.start(), m.end()))
                 yield "phone", m.start(), m.end()
-    for m in _IBAN.finditer(text):
-        if length := _IBAN_LENGTH.get(m[0][:2]):
-            compact, end = "", m.start()
-            while len(compact) < length and end < m.end():
-                compact += text[end].strip()
-                end += 1
-            if len(compact) == length and mod97(compact):
-                yield "iban", m.start(), end
+    m = _IBAN.search(text)
+    while m:
+        good = mod97(m[0].replace(" ", ""))
+        if good:
+            yield "iban", m.start(), m.end()
+        m = _IBAN.search(text, m.end() if good else m.start() + 1)
     if "(" in text:
         known = iter([*phones, (len(text) + 1, len(text) + 1)])
         now = next(known)
@@ -106,19 +111,34 @@ def _proposed(text: str):
             yield "ssn", m.start(), m.end()
 
 
+def _near(text: str, start: int, end: int) -> str:
+    """The words up to CONTEXT characters before and after a span, in lower case and between spaces; words that are cut there are left out."""
+    a, e = max(0, start - CONTEXT), min(len(text), end + CONTEXT)
+    while 0 < a < start and text[a - 1].isalpha() and text[a].isalpha():
+        a += 1
+    while end < e < len(text) and text[e - 1].isalpha() and text[e].isalpha():
+        e -= 1
+    return f" {' '.join(_WORD.findall(text[a:start].lower()))} | {' '.join(_WORD.findall(text[end:e].lower()))} "
+
+
 def find(text: str | None) -> list[dict]:
     """The spans of one text, by start and then kind; code points, end exclusive."""
     text, found = text or "", []
     for kind, start, end in _proposed(text):
-        near = (text[max(0, start - CONTEXT) : start] + " " + text[end : end + CONTEXT]).lower()
-        score = min(1.0, _PRIOR[kind] + 0.3 * any(w in near for w in _WORDS[kind]))
+        near = _near(text, start, end)
+        score = _PRIOR[kind] + RAISED * any(f" {w} " in near for w in _WORDS[kind]) - LOWERED * any(f" {w} " in near for w in _AGAINST)
+        score = min(1.0, max(0.0, score))
         if kind in BASE or score >= THRESHOLD:
             found.append({"kind": kind, "start": start, "end": end, "score": round(score, 3)})
     return sorted(found, key=lambda s: (s["start"], KINDS.index(s["kind"])))
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, spans): one row for each row of ``docs``. Null and empty texts have no spans; null and repeated ids and other columns pass without harm."""
+    """(id_col, spans): one row for each row of ``docs``.
+
+    Null and empty texts have no spans; very long texts are scanned whole, in linear time; spans that start together are in the order of KINDS; null and repeated
+    ids keep their rows; other columns are ignored; an empty table gives an empty result.
+    """
     schema = T.StructType([docs.schema[id_col], T.StructField("spans", SPANS)])
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
@@ -135,7 +155,8 @@ def listed(column: str):
 
 
 def digest(found: DataFrame, base: tuple[str, ...], id_col: str = "doc_id") -> DataFrame:
-    """(id_col, n_<kind>, base_sha256, spans) from a table of spans."""
+    """(id_col, n_<kind>, base_sha256, spans, n_all, scores) from a table of spans; n_all counts all of them and scores lists theirs in the same order."""
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     own = found.withColumn("base", F.filter("spans", lambda s: s["kind"].isin(*base)))
-    return own.select(id_col, *map(count, base), F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+    scores = F.array_join(F.transform("spans", lambda s: s["score"].cast("string")), ",")
+    return own.select(id_col, *map(count, base), F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"), F.size("spans").cast("long").alias("n_all"), scores.alias("scores"))

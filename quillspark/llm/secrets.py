@@ -110,10 +110,10 @@ def listed(column: str) -> Column:
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id_col, n_assign, n_access, n_hex, base_sha256, spans) from a table of spans."""
+    """(id_col, n_assign, n_access, n_hex, base_sha256, spans, n_all) from a table of spans; n_all counts all of them."""
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     own = found.withColumn("base", F.filter("spans", lambda s: s["kind"].isin(*BASE)))
-    return own.select(id_col, *map(count, BASE), F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+    return own.select(id_col, *map(count, BASE), F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"), F.size("spans").cast("long").alias("n_all"))
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", mark: str = "[SECRET]") -> DataFrame:

@@ -54,6 +54,18 @@ def test_validators_and_context():
     assert [s["kind"] for s in pii.find("at (499) 555-6503%% or +1 (499) 555-6503")] == ["national", "phone"]
 
 
+def test_context_decides_for_added_kinds():
+    kinds = lambda t: [s["kind"] for s in pii.find(t)]
+    assert kinds("DE89370400440532013000 GB29NWBK60161331926819") == ["iban", "iban"]
+    assert kinds("DE89 37040044 0532013000GB29 NWBK60161331926819 end") == ["iban"] and kinds("NO00 NO9386011117947") == ["iban"]
+    assert kinds("serial GB29NWBK60161331926819") == [] and kinds("bank serial GB29NWBK60161331926819") == ["iban"]
+    assert kinds("item (499) 555-6503 of it") == [] and kinds("phone item (499) 555-6503 of it") == ["national"]
+    assert kinds("the ssns 123-45-6789 of it") == [] and kinds("social security: 123-45-6789") == ["ssn"]
+    score = lambda t: pii.find(t)[0]["score"]
+    assert score("the hotel +49 30 1234567") == score("+49 30 1234567") < score("the tel +49 30 1234567")
+    assert score("x" * 40 + "ho" + "tel" + "." * (pii.CONTEXT - 3) + "+49 30 1234567") == score("+49 30 1234567")
+
+
 def test_linear_time():
     import time
 
