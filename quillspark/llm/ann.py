@@ -65,16 +65,17 @@ def tile(query, candidate, k: int):
     slack = 1e-9 * np.linalg.norm(q, axis=1)
     for at in range(0, len(q), _STRIP):
         s = slice(at, at + _STRIP)
-        near = (qcodes[s].astype(np.float32) @ cpoints).astype(np.float64) * qscale[s, None] * cscale
-        rounded = qscale[s] * np.linalg.norm(qcodes[s].astype(np.float64), axis=1)
-        error = rounded[:, None] * cerror + (qerror[s] + slack[s])[:, None] * cnorm
-        own = quid[s, None] == cuid
-        low = np.where(own, -np.inf, near - error)
-        least = np.partition(low, -k, axis=1)[:, -k] if low.shape[1] > k else np.full(len(low), -np.inf)
-        row, column = np.nonzero((near + error >= least[:, None]) & ~own)
-        score = np.zeros(len(row))
-        for d in range(q.shape[1]):
-            score += q[at + row, d] * c[column, d]
+        with np.errstate(over="ignore", invalid="ignore"):
+            near = (qcodes[s].astype(np.float32) @ cpoints).astype(np.float64) * qscale[s, None] * cscale
+            rounded = qscale[s] * np.linalg.norm(qcodes[s].astype(np.float64), axis=1)
+            error = rounded[:, None] * cerror + (qerror[s] + slack[s])[:, None] * cnorm
+            own, low, high = quid[s, None] == cuid, near - error, near + error
+            low = np.where(own | ~np.isfinite(low), -np.inf, low)
+            least = np.partition(low, -k, axis=1)[:, -k] if low.shape[1] > k else np.full(len(low), -np.inf)
+            row, column = np.nonzero(((high >= least[:, None]) | np.isnan(high)) & ~own)  # a bound that overflows excludes nothing
+            score = np.zeros(len(row))
+            for d in range(q.shape[1]):
+                score += q[at + row, d] * c[column, d]
         order = np.lexsort((cid[column], -score, row))
         row, column, score = row[order], column[order], score[order]
         ends = np.searchsorted(row, np.arange(len(low) + 1))
@@ -89,7 +90,9 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
 
     Nearness is the inner product in double precision; ties go to the smaller id; fewer than k candidates are all returned. Rows with a null id
     or an unusable vector take no part; vectors are compared with those of their own dimension. A row is no candidate of its own, but
-    rows that repeat an id are rows of their own, as queries and as candidates. An empty table gives an empty result.
+    rows that repeat an id are rows of their own, as queries and as candidates. Products that overflow are infinite, or no number and then last. Other columns are
+    ignored. An empty table gives an empty result. A joined row holds two blocks, about 10 MB; Spark passes rows to Python in batches of
+    ``spark.sql.execution.arrow.maxBytesPerBatch`` (64 MB unless set), which bounds a task's memory.
     """
     rows, _ = materialize(usable(vectors, id_col, vec_col), "vectors")
     sizes = rows.groupBy("dim").agg(F.count("*").alias("n"), F.count_if(is_query).alias("q"))
@@ -118,7 +121,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
         out = []
         for _, lists in groupby(every(), key=lambda r: r.uid):
             lists = list(lists)
-            best = heapq.merge(*(zip(-np.asarray(r.scores), r.ids) for r in lists))
+            best = heapq.merge(*(zip(-np.nan_to_num(np.asarray(r.scores), nan=-np.inf, posinf=np.inf, neginf=-np.inf), r.ids) for r in lists))
             out += [(lists[0].query_id, n + 1, i, -s) for n, (s, i) in zip(range(k), best)]
             if len(out) > 20_000:
                 yield pd.DataFrame(out, columns=["query_id", "rank", "vec_id", "score"])

@@ -1,7 +1,7 @@
 """Byte-level BPE: vectorised pre-tokenisation, cached pair merging, and decoding.
 
 ``pretokens`` locates the pieces; each different piece is merged once per worker (a bounded cache) and its ids are
-reused. The offsets of the pieces are kept, so that any piece's text and ids can be matched up again.
+reused. The offsets of the pieces are retained, and decoding places each piece's bytes by them.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ import base64
 import heapq
 import json
 from functools import lru_cache
+from hashlib import sha256
 from itertools import chain
 
 import numpy as np
@@ -22,9 +23,9 @@ from pyspark.sql import types as T
 from quillspark.llm import pretokens
 
 #: Pieces that a worker remembers; when there are more it starts afresh.
-CACHE = 400_000
-#: Texts that are encoded or decoded together.
-BATCH = 512
+CACHE = 200_000
+#: Texts that are encoded or decoded together: this many, and no more characters than that (or one longer text).
+BATCH, BATCH_CHARS = 512, 1 << 20
 #: Pieces longer than this many bytes are merged with a heap and not remembered.
 LONG = 64
 #: The rank of a pair that doesn't merge.
@@ -227,6 +228,18 @@ def from_json(path: str) -> Vocabulary:
     return Vocabulary(tokens, pairs, None)
 
 
+def batches_of(texts: list[str]):
+    """(from, to) of stretches of texts that are worked on together."""
+    start, held = 0, 0
+    for i, t in enumerate(texts):
+        if i > start and (i - start >= BATCH or held + len(t) > BATCH_CHARS):
+            yield start, i
+            start, held = i, 0
+        held += len(t)
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def encoded(texts: list[str], vocabulary: Vocabulary):
     """For each text its pieces, all their ids, and how many each piece has."""
     pieces = list(pretokens.pieces(texts))
@@ -236,56 +249,84 @@ def encoded(texts: list[str], vocabulary: Vocabulary):
     return [(p, ids[a:b], counts[c:d]) for p, a, b, c, d in zip(pieces, id_ends, id_ends[1:], piece_ends, piece_ends[1:])]
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", offsets: bool = True) -> DataFrame:
+def starts(pieces: list[str]) -> np.ndarray:
+    """Where each piece starts in its text, in code points."""
+    return np.cumsum([0, *map(len, pieces)])[:-1]
+
+
+def decoded(ids: np.ndarray, offsets: np.ndarray, counts: np.ndarray, vocabulary: Vocabulary) -> bytes:
+    """The bytes of a text from its ids: each piece's must begin at the code point that was retained for it, or the row is damaged."""
+    found = vocabulary.decode(pa.array(ids, type=pa.int32()))
+    ends = np.frombuffer(found.buffers()[1], dtype=np.int32)[: len(found) + 1] if len(found) else np.zeros(1, np.int32)
+    blob = found.buffers()[2].to_pybytes()[: ends[-1]] if len(found) else b""
+    if len(counts):
+        points = np.concatenate([[0], np.cumsum((np.frombuffer(blob, dtype=np.uint8) & 0xC0) != 0x80)])
+        begins = ends[np.cumsum(counts) - counts]
+        if not np.array_equal(points[begins], offsets):
+            raise ValueError("ids and offsets do not belong together")
+    return blob
+
+
+def _lists(parts) -> pa.Array:
+    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *parts]).astype(np.int32))).cast(pa.list_(pa.int32()))
+
+
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, ids, offsets, counts): the ids of every whole text by the ranks in the file at ``path``.
 
-    offsets holds where each piece starts in the text (code points) and counts how many ids it has; both
-    are left out with ``offsets=False``. Null and empty texts have no ids. Null and repeated ids keep their rows; other columns are ignored.
-    ``path`` must exist on every executor.
+    offsets holds where each piece starts in the text (code points) and counts how many ids it has. Null and empty texts have no ids; very long texts are encoded
+    whole; null and repeated ids keep their rows; other columns are ignored; an empty table gives an empty result. ``path`` must exist on every executor.
     """
-    fields = [docs.schema[id_col], *(T.StructField(n, T.ArrayType(T.IntegerType())) for n in (["ids", "offsets", "counts"] if offsets else ["ids"]))]
-    schema, ints = T.StructType(fields), pa.list_(pa.int32())
-
-    def lists(parts):
-        ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *parts]).astype(np.int32))).cast(ints)
+    schema = T.StructType([docs.schema[id_col], *(T.StructField(n, T.ArrayType(T.IntegerType())) for n in ("ids", "offsets", "counts"))])
 
     def run(batches):
         vocabulary = from_ranks(path)
-        for whole in batches:
-            for at in range(0, whole.num_rows, BATCH):
-                b = whole.slice(at, BATCH)
-                found = encoded([t or "" for t in b.column(1).to_pylist()], vocabulary)
-                columns = [lists([ids for _, ids, _ in found])]
-                if offsets:
-                    columns += [lists([np.cumsum([0, *map(len, p)])[:-1] for p, _, _ in found]), lists([n for _, _, n in found])]
-                yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=[f.name for f in fields])
+        for b in batches:
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            for a, e in batches_of(texts):
+                found = encoded(texts[a:e], vocabulary)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, e - a), _lists([ids for _, ids, _ in found]), _lists([starts(p) for p, _, _ in found]), _lists([n for _, _, n in found])], names=schema.names)
 
     return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
 def decode(tokens: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
-    """``tokens`` with a binary column ``decoded``: the bytes that its column ``ids`` stands for."""
+    """``tokens`` with a binary column ``decoded``: the bytes that its columns ids, offsets and counts stand for.
+
+    Offsets place each piece: ids that do not fit them are an error, as is an id that the vocabulary has not.
+    """
     schema = T.StructType([*tokens.schema.fields, T.StructField("decoded", T.BinaryType())])
-    at = tokens.columns.index("ids")
+    at = [tokens.columns.index(c) for c in ("ids", "offsets", "counts")]
 
     def run(batches):
         vocabulary = from_ranks(path)
         for whole in batches:
             for start in range(0, whole.num_rows, BATCH):
                 b = whole.slice(start, BATCH)
-                column = b.column(at)
-                ends = column.offsets.to_numpy()
-                found = vocabulary.decode(column.values.slice(ends[0], ends[-1] - ends[0]))
-                text_ends = np.frombuffer(found.buffers()[1], dtype=np.int32)[ends - ends[0]] if len(found) else np.zeros(len(ends), np.int32)
-                decoded = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.array(text_ends).buffers()[1], found.buffers()[2]])
-                yield pa.RecordBatch.from_arrays([*b.columns, decoded], names=[f.name for f in schema])
+                numbers = lambda x: np.asarray(x.values, dtype=np.int32)
+                rows = zip(*(map(numbers, b.column(i)) for i in at))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([decoded(*r, vocabulary) for r in rows], type=pa.binary())], names=schema.names)
 
     return tokens.mapInArrow(run, schema)
 
 
-def digest(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of a round trip through the vocabulary."""
-    back = decode(encode(docs, path, offsets=False), path)
-    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+def digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, n_pieces) of a round trip: encoding, and decoding of the ids by the offsets that were retained.
+
+    Both ends of the trip run in one worker, so that only digests are passed on. Rows are treated as ``encode`` says.
+    """
+    schema = T.StructType([docs.schema[id_col], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()), T.StructField("n_pieces", T.LongType())])
+
+    def run(batches):
+        vocabulary = from_ranks(path)
+        for b in batches:
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            for a, e in batches_of(texts):
+                out = []
+                for pieces, ids, counts in encoded(texts[a:e], vocabulary):
+                    back = decoded(ids, starts(pieces), counts, vocabulary)
+                    out.append((len(ids), sha256(",".join(map(str, ids.tolist())).encode()).hexdigest(), sha256(back).hexdigest(), len(pieces)))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, e - a), *map(pa.array, zip(*out))], names=schema.names)
+
+    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, schema)

@@ -64,3 +64,12 @@ def test_bounds_hold():
     codes, scale, error = ann.quantised(x)
     assert np.allclose(np.linalg.norm(x - codes * scale[:, None], axis=1), error)
     assert (error <= scale * 2.001).all()
+
+
+def test_products_that_overflow(spark):
+    rows = [(i, [float(v), 1.0]) for i, v in enumerate([1e200, 1e200, -1e200, 1.0, 1e300, -1e300])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in sorted(ann.search(df, F.col("id") == 0).collect(), key=lambda r: r.rank):
+        got[r.vec_id] = r.score
+    assert list(got)[:3] == [1, 4, 3] and got[1] == got[4] == float("inf") and got[2] == got[5] == float("-inf") and len(got) == 5

@@ -2,6 +2,7 @@ import base64
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
 import regex
@@ -69,3 +70,18 @@ def test_query_and_edges(spark):
     last = [r for r in got if r.ids][0]
     assert last.offsets == [0, 2, 4, 5] and sum(last.counts) == len(last.ids)
     assert bpe.encode(odd.limit(0), RANKS).count() == 0
+
+
+def test_offsets_guard_decoding_and_batches_are_bounded(spark, monkeypatch):
+    import pytest
+
+    own = bpe.from_ranks(RANKS)
+    pieces, ids, counts = bpe.encoded(["né 𝔸 it's 12 中文 "], own)[0]
+    assert bpe.decoded(ids, bpe.starts(pieces), counts, own).decode() == "né 𝔸 it's 12 中文 "
+    with pytest.raises(ValueError):
+        bpe.decoded(ids, bpe.starts(pieces) + 1, counts, own)
+    assert bpe.decoded(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32), own) == b""
+    monkeypatch.setattr(bpe, "BATCH_CHARS", 10)
+    assert list(bpe.batches_of(["abc", "defghij", "k", "x" * 50, "", "y"])) == [(0, 2), (2, 3), (3, 4), (4, 6)]
+    assert list(bpe.batches_of([])) == []
+    assert bpe.digest(spark.createDataFrame([], "doc_id long, text string"), RANKS).count() == 0
