@@ -228,6 +228,13 @@ def from_json(path: str) -> Vocabulary:
     return Vocabulary(tokens, pairs, None)
 
 
+@lru_cache(4)
+def added_tokens(path: str) -> dict[str, int]:
+    """The tokens that a vocabulary file adds to its model and that are sought in texts as they stand."""
+    with open(path, encoding="utf-8") as file:
+        return {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+
+
 def batches_of(texts: list[str]):
     """(from, to) of stretches of texts that are worked on together."""
     start, held = 0, 0

@@ -4,12 +4,14 @@ Pieces are dealt at random to islands of bounded size. Each island evolves packi
 injects whole well-filled sequences of one parent into the other, removes duplicates, and best-fits the displaced
 pieces. Between epochs every island sends its elite's well-filled sequences (as lists of lengths) to the next, which rebuilds
 them from pieces of its own. In the end the badly filled sequences of neighbouring islands are emptied and packed together,
-round by round, until one island is left; so what all islands waste together is about one island's waste.
+round by round; an island passes on no more pieces than its share of one island, the worst filled first, so that no group grows. Evolution ends where
+a packing has as few sequences as a lower bound allows, or after generations without a better one.
 """
 
 from __future__ import annotations
 
 import random
+import re
 import zlib
 from functools import lru_cache
 
@@ -18,7 +20,7 @@ import pandas as pd
 import pyarrow as pa
 import tiktoken
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,7 +36,22 @@ WELL_FILLED = 0.98
 #: Longer texts are encoded without a pattern engine.
 LONG_TEXT = 1 << 20
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-POPULATION, GENERATIONS, EPOCHS = 4, 6, 2
+POPULATION, EPOCHS = 4, 2
+#: Crossovers of an island: at least the first number, and so many that about the second number of pieces are placed, but not more than the third.
+GENERATIONS, PLACED, MOST_GENERATIONS = 6, 100_000, 60
+
+
+def fewest(lengths: list[int], capacity: int) -> int:
+    """A lower bound of the number of sequences (Martello and Toth's L2): for each k, pieces over capacity - k share with none of k or more."""
+    counts = np.bincount(np.asarray(lengths, dtype=np.int64), minlength=capacity + 1)
+    number, weight = np.cumsum(counts), np.cumsum(counts * np.arange(capacity + 1))
+    half = capacity // 2
+    k = np.arange(1, half + 1)
+    alone = number[capacity] - number[capacity - k]
+    large, large_weight = number[capacity - k] - number[half], weight[capacity - k] - weight[half]
+    small_weight = weight[half] - weight[k - 1]
+    more = -(-np.maximum(0, small_weight - (large * capacity - large_weight)) // capacity)
+    return int(max(-(-weight[capacity] // capacity), (alone + large + more).max(initial=0)))
 
 
 class Packing:
@@ -171,7 +188,7 @@ def evolve(lengths: list[int], capacity: int, elite: list[list[int]] | None = No
     """Bins of item numbers. Stops as soon as no packing can have fewer bins."""
     if not lengths:
         return []
-    least, rng = -(-sum(lengths) // capacity), random.Random(seed)
+    least, rng = fewest(lengths, capacity), random.Random(seed)
     descending = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
     greedy = Packing(capacity)
     greedy.place(descending, lengths)
@@ -187,7 +204,7 @@ def evolve(lengths: list[int], capacity: int, elite: list[list[int]] | None = No
             noisy = Packing(capacity)
             noisy.place(sorted(descending, key=lambda i: -lengths[i] * rng.uniform(0.8, 1.0)), lengths)
             people.append(noisy)
-        for _ in range(GENERATIONS):
+        for _ in range(max(GENERATIONS, min(MOST_GENERATIONS, PLACED // len(lengths)))):
             people.sort(key=Packing.fitness, reverse=True)
             if len(people[0].bins) <= least:
                 break
@@ -200,18 +217,21 @@ def evolve(lengths: list[int], capacity: int, elite: list[list[int]] | None = No
 
 @lru_cache(2)
 def encoder(path: str):
-    """A function from a text to its ids (unsigned 32-bit) in the vocabulary at ``path``, special tokens as ordinary text.
+    """A function from a text to its ids (unsigned 32-bit) in the vocabulary at ``path``; the file's added tokens are found in texts, none is added.
 
     The same ids as the library that the file is for gives, by another that is three times as fast on the same ranks; its
     pattern engine may give up on enormous runs, so very long texts are cut into pieces by ``pretokens``.
     """
-    own = bpe.from_json(path)
-    fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks={b: i for i, b in own.tokens.items()}, special_tokens={})
+    own, special = bpe.from_json(path), bpe.added_tokens(path)
+    fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks={b: i for i, b in own.tokens.items() if i not in special.values()}, special_tokens=special)
+    apart = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
 
     def ids(text: str) -> np.ndarray:
         if len(text) <= LONG_TEXT:
-            return fast.encode_to_numpy(text, disallowed_special=())
-        return bpe.encoded([text], own)[0][1].astype("<u4")
+            return fast.encode_to_numpy(text, allowed_special="all")
+        parts = apart.split(text) if apart else [text]
+        found = [np.array([special[p]], dtype="<u4") if p in special else bpe.encoded([p], own)[0][1].astype("<u4") for p in parts]
+        return np.concatenate([np.zeros(0, dtype="<u4"), *found])
 
     return ids
 
@@ -246,7 +266,7 @@ def pack(items: DataFrame, capacity: int = 1024, length_col: str = "length", uid
     """``items`` with sequence_id and offset: every item in one sequence, gapless from 0, no sequence longer than ``capacity``.
 
     ``uid_col`` must differ in every row; lengths must be from 0 to ``capacity``. Items of full length are sequences of their own.
-    An empty table gives an empty result.
+    No task ever holds more than about two islands, whatever the lengths. An empty table gives an empty result.
     """
     spark, columns = items.sparkSession, items.columns
     alone = items.where(F.col(length_col) >= capacity).withColumn("sequence_id", -1 - F.col(uid_col)).withColumn("offset", F.lit(0).cast("long"))
@@ -289,10 +309,13 @@ def pack(items: DataFrame, capacity: int = 1024, length_col: str = "length", uid
         if islands == 1:
             settled.append(open_items.withColumn("sequence_id", number))
             break
-        fills = open_items.groupBy("island", "bin").agg(F.sum(length_col).alias("fill"))
-        marked = open_items.join(fills, ["island", "bin"])
-        settled.append(marked.where(F.col("fill") >= WELL_FILLED * capacity).withColumn("sequence_id", number))
-        left = marked.where(F.col("fill") < WELL_FILLED * capacity).drop("fill", "offset").withColumn("region", F.floor(F.col("island") / FAN_IN))
+        # the worst filled sequences of each island go on, as many as together have no more than an island's pieces in a region
+        bins = open_items.groupBy("island", "bin").agg(F.sum(length_col).alias("fill"), F.count("*").alias("held")).where(F.col("fill") < WELL_FILLED * capacity)
+        pieces_before = F.sum("held").over(Window.partitionBy("island").orderBy("fill", "bin"))
+        going = bins.where(F.col("held") <= ISLAND // FAN_IN).withColumn("before", pieces_before).where(F.col("before") <= ISLAND // FAN_IN).select("island", "bin")
+        going, _ = materialize(going, "going")
+        settled.append(open_items.join(going, ["island", "bin"], "left_anti").withColumn("sequence_id", number))
+        left = open_items.join(going, ["island", "bin"], "left_semi").drop("offset").withColumn("region", F.floor(F.col("island") / FAN_IN))
         open_items, _ = materialize(left.groupBy("region").applyInPandas(together, schema), "regions")
         islands, level = -(-islands // FAN_IN), level + 1
     out = alone

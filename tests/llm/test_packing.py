@@ -4,6 +4,7 @@ from array import array
 from collections import defaultdict
 
 import public_tokenizers as P
+from pyspark.accumulators import AccumulatorParam
 from tokenizers import Tokenizer
 
 from quillspark.llm import packing
@@ -11,6 +12,14 @@ from quillspark.llm import packing
 PATH = P.path("byte_bpe_50k.json")
 
 
+class Largest(AccumulatorParam):
+    def zero(self, value):
+        return 0
+
+    def addInPlace(self, a, b):
+        return max(a, b)
+
+
 def check(rows, capacity=1024):
     by = defaultdict(list)
     for r in rows:
@@ -28,7 +37,6 @@ def test_query_on_documents(spark):
     from quillspark.llm.queries import op4_packing
 
     sf, tok = "/root/testdata/sf0.001", Tokenizer.from_file(PATH)
-    tok.encode_special_tokens = True
     rows = op4_packing(spark, sf).collect()
     by = defaultdict(list)
     for r in rows:
@@ -49,7 +57,6 @@ def test_query_on_documents(spark):
 
 def test_ids_equal_the_library(monkeypatch):
     rng, tok = random.Random(6), Tokenizer.from_file(PATH)
-    tok.encode_special_tokens = True
     parts = ["'s", "'", " ", "  ", "\n", "a", "The", "é", "12", "!?", "<|endoftext|>", "中", "\t"]
     texts = ["".join(rng.choices(parts, k=rng.randint(0, 50))) for _ in range(2000)] + [" " * 5000 + "x", "ab" * 5000]
     for limit in (packing.LONG_TEXT, 0):
@@ -80,6 +87,46 @@ def test_evolution():
     assert len(packing.evolve(lengths, 1024, migrants=[(400, 324, 300)] * 50)) == 40
 
 
+def test_bound():
+    rng = random.Random(9)
+    assert packing.fewest([], 1024) == 0 and packing.fewest([520, 600, 1000], 1024) == 3 and packing.fewest([512] * 8, 1024) == 4
+    for _ in range(300):
+        lengths = [rng.choice([rng.randint(1, 10), rng.randint(300, 800)]) for _ in range(rng.randint(1, 9))]
+        best = len(lengths)
+
+        def go(i, bins):
+            nonlocal best
+            if len(bins) >= best:
+                return
+            if i == len(lengths):
+                best = len(bins)
+                return
+            for b in range(len(bins)):
+                if bins[b] + lengths[i] <= 1024:
+                    go(i + 1, [*bins[:b], bins[b] + lengths[i], *bins[b + 1 :]])
+            go(i + 1, [*bins, lengths[i]])
+
+        go(0, [])
+        assert packing.fewest(lengths, 1024) <= best <= len(packing.evolve(lengths, 1024))
+
+
+def test_no_group_grows_where_no_sequence_can_be_filled(spark, monkeypatch):
+    monkeypatch.setattr(packing, "ISLAND", 160)
+    monkeypatch.setattr(packing, "FAN_IN", 4)
+    rng, largest, evolve = random.Random(5), spark.sparkContext.accumulator(0, Largest()), packing.evolve
+
+    def watched(lengths, *args, **kwargs):
+        largest.add(len(lengths))
+        return evolve(lengths, *args, **kwargs)
+
+    monkeypatch.setattr(packing, "evolve", watched)
+    for low, high in ((520, 1000), (1, 700)):
+        lengths = [rng.randint(low, high) for _ in range(4000)]
+        rows = packing.pack(spark.createDataFrame(list(enumerate(lengths)), "uid long, length long")).collect()
+        assert len(rows) == 4000 and packing.fewest(lengths, 1024) <= check(rows) <= packing.fewest(lengths, 1024) * 1.02
+    assert 0 < largest.value < 2 * 160
+
+
 def test_edges(spark):
     odd = spark.createDataFrame([(None, None, 1), (1, "", 2), (3, "a b", 3), (3, "a b", 3), (4, "word " * 3000, 0)], "doc_id long, text string, piece int")
     rows = packing.packed(odd, PATH).collect()
