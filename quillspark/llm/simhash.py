@@ -11,9 +11,9 @@ fetched: its members and those that ask for it meet by the balls of radius one r
 Linking by sets (``link_sets``), for similarities well below one, where segments of fingerprints find only some of the pairs (at a Jaccard similarity
 of 0.8 a fingerprint differs in every seventh bit; 97 % of the pairs would cost some 300 keys a text), is exact over the sets of shingles
 themselves. All shingles are put in one order, by how common they are; texts of a similarity t share one of the first n - ceil(t n) + 1 of
-their n shingles, 75 keys for an average text, so texts that share none are never compared. Fingerprints of 256 bits pass a pair on by their
-complete distance, and its similarity is computed from both sets. Each text is first compared with the one that most of its
-keys begin with; members of a key that are not connected by this are compared with one another, in blocks.
+their n shingles, 75 keys for an average text, so texts that share none, or the first one too late in the order, are never compared. Fingerprints of 256 bits pass a pair on by their
+complete distance, and its similarity is computed from both sets. Each text is first compared with the hubs of its
+keys; members of a key that are not connected by this are compared with one another, in blocks.
 """
 
 from __future__ import annotations
@@ -182,7 +182,10 @@ def _common(sets: DataFrame) -> np.ndarray:
 
 
 def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
-    """(u, n, key): for each set the first of its shingles, rarest first, of which sets of this similarity share one. A task tells equal sets once."""
+    """(u, w, key): for each set the first of its shingles, rarest first, of which sets of this similarity share one. A task tells equal sets once.
+
+    w holds the set's size (high half) and how many of its shingles come from this one on (low half).
+    """
     common = _common(sets)
 
     def run(batches):
@@ -198,9 +201,18 @@ def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
                 x = values[end - n : end]
                 keys.append(x[np.argsort(common[_bucket(x)], kind="stable")[: n - math.ceil(similarity * n - 1e-9) + 1]])
                 taken.append(len(keys[-1]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, taken)), pa.array(np.repeat(size, taken)), pa.array(np.concatenate(keys))], names=["u", "n", "key"])
+            counts = np.array(taken, dtype=np.int64)
+            place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            whole = np.repeat(size, counts)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, counts)), pa.array(whole << 32 | whole - place), pa.array(np.concatenate(keys))], names=["u", "w", "key"])
+
+    return sets.select("d", "n", "hashes").where("n > 0").mapInArrow(run, "u long, w long, key long")
+
 
-    return sets.select("d", "n", "hashes").where("n > 0").mapInArrow(run, "u long, n long, key long")
+def _possible(a, b, similarity: float):
+    """Whether two sets, by their w at the first key that they share, have enough left in common: what comes before a first shared key is not shared."""
+    left = lambda w: w.bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.least(left(a), left(b)) >= similarity / (1 + similarity) * (F.shiftright(a, 32) + F.shiftright(b, 32)) - 1e-6
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -227,29 +239,28 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 def link_sets(sets: DataFrame, similarity: float) -> DataFrame:
     """Edges (u, v) that connect, by d, exactly the sets that pairs of ``similarity`` or more connect.
 
-    Two members of a key that are in one component already need not be compared; all others are, so only a key that very many sets
-    share of which no two are near costs all its pairs.
+    Each set is first compared with the hubs of its keys: the member of a key that shares its keys with most others, which in a group of copies is the
+    text that all are near. Two members of a key that are in one component by then need not be compared; all others are, so
+    only a key that very many sets share of which no two are near costs all its pairs.
     """
     spark, by_key = sets.sparkSession, Window.partitionBy("key")
-    ordered = by_key.orderBy("u")
-    met = _prefixes(sets, similarity).select("key", "u", "n", F.first(F.struct("u", "n")).over(ordered).alias("first"), F.lag("u").over(ordered).alias("before"), F.max("u").over(by_key).alias("last"))
-    met = met.where("last <> first.u AND (before IS NULL OR before <> u)").select("key", "u", "n", F.col("first.u").alias("v"), F.col("first.n").alias("v_n"))
-    met, met_path = materialize(met, "met")
-    sized = lambda a, b: F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
-    often = met.where((F.col("u") != F.col("v")) & sized(F.col("n"), F.col("v_n"))).groupBy("u", "v").count()
-    best = often.groupBy("u").agg(F.max(F.struct("count", "v")).alias("m")).select("u", F.col("m.v").alias("v"))
-    near = _verified(best, sets, similarity)
+    met = _prefixes(sets, similarity).select("key", "u", "w", F.lag("u").over(by_key.orderBy("u")).alias("before"), F.min("u").over(by_key).alias("least"), F.max("u").over(by_key).alias("most"), F.count("*").over(by_key).alias("m"))
+    met, met_path = materialize(met.where("most <> least AND (before IS NULL OR before <> u)").select("key", "u", "w", "m"), "met")
+    weights, weights_path = materialize(met.groupBy("u").agg(F.sum("m").alias("weight")), "weights")
+    hubs = met.join(weights, "u").groupBy("key").agg(F.max(F.struct("weight", "u", "w")).alias("h")).select("key", F.col("h.u").alias("v"), F.col("h.w").alias("v_w"))
+    near = _verified(met.join(hubs, "key").where((F.col("u") != F.col("v")) & _possible(F.col("w"), F.col("v_w"), similarity)), sets, similarity)
     linked, _ = materialize(connected_components(near), "linked")
-    rest = met.select("key", "u", "n").join(linked, met["u"] == linked["node"], "left").select("key", "u", "n", F.coalesce("component", "u").alias("c"))
-    apart = rest.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("key")
-    rest, rest_path = materialize(rest.join(apart, "key"), "rest")
+    rest = met.select("key", "u", "w").join(linked, met["u"] == linked["node"], "left").select("key", "u", "w", F.coalesce("component", "u").alias("c"))
+    rest = rest.withColumn("least", F.min("c").over(by_key)).withColumn("most", F.max("c").over(by_key)).where("least <> most")
+    rest, rest_path = materialize(rest.select("key", "u", "w", "c"), "rest")
     sizes = rest.groupBy("key", "c").count()
-    blocks = rest.join(sizes, ["key", "c"]).withColumn("block", F.pmod(F.xxhash64("u"), F.ceil(F.col("count") / BLOCK))).groupBy("key", "c", "block").agg(F.collect_list(F.struct("u", "n")).alias("ys"))
-    left, right = rest.select("key", F.col("c").alias("a"), F.struct("u", "n").alias("x")), blocks.select("key", F.col("c").alias("b"), "ys")
-    pairs = left.join(right, "key").where("a < b").select("x", F.explode("ys").alias("y")).where(sized(F.col("x.n"), F.col("y.n")))
+    blocks = rest.join(sizes, ["key", "c"]).withColumn("block", F.pmod(F.xxhash64("u"), F.ceil(F.col("count") / BLOCK))).groupBy("key", "c", "block").agg(F.collect_list(F.struct("u", "w")).alias("ys"))
+    left, right = rest.select("key", F.col("c").alias("a"), F.struct("u", "w").alias("x")), blocks.select("key", F.col("c").alias("b"), "ys")
+    possible = F.filter("ys", lambda y: _possible(F.col("x.w"), y["w"], similarity))
+    pairs = left.join(right, "key").where("a < b").select("x", F.explode(possible).alias("y"))
     more = _verified(pairs.select(F.least("x.u", "y.u").alias("u"), F.greatest("x.u", "y.u").alias("v")), sets, similarity)
-    drop(spark, met_path)
-    drop(spark, rest_path)
+    for path in (met_path, weights_path, rest_path):
+        drop(spark, path)
     return near.unionByName(more)
 
 
