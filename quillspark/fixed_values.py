@@ -118,3 +118,12 @@ SUBJECT_ALIASES = {
     "математика": "math",
     "биология": "biology",
 }
+
+#: What a query that asks for a goal, a cause or a consequence is also worded with.
+FOCUS_EXPANSIONS = {
+    "goal": ("цели", "задачи", "намерения", "стремились", "направлены"),
+    "cause": ("предпосылки", "кризис", "недовольство", "оппозиция", "обусловлено"),
+    "consequence": ("итоги", "изменения", "привело", "вызвало", "потери", "ухудшение", "ослабление"),
+}
+#: The same for causes outside of history.
+PLAIN_CAUSE_EXPANSIONS = ("причина", "объясняется", "связано", "обусловлено")

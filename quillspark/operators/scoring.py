@@ -49,6 +49,26 @@ def final_score(s: Settings = DEFAULT) -> Column:
     return clamp(x * F.when(c("low_quality"), s.low_quality_penalty).otherwise(1.0))
 
 
+def subject_score(row_score: Column, stored: Column) -> Column:
+    """A candidate's own subject score, or, where routing left it open (0.5), what its stored subject says."""
+    return F.when(F.abs(row_score - 0.5) > 1e-9, clamp(row_score)).otherwise(F.coalesce(stored, F.lit(0.5)))
+
+
+def rescored(candidates: DataFrame, scorer, query: str = "query", text: str = "text") -> DataFrame:
+    """``candidates`` with rerank_raw: what a re-ranker says of each (query, text) pair, batch by batch. Without a re-ranker (None) it is null.
+
+    ``scorer`` is a function from two lists of strings to a list of numbers; it is sent to the workers.
+    """
+    if scorer is None:
+        return candidates.withColumn("rerank_raw", F.lit(None).cast("double"))
+
+    @F.pandas_udf("double")
+    def said(queries: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series(scorer(queries.fillna("").tolist(), texts.fillna("").tolist()), dtype="float64")
+
+    return candidates.withColumn("rerank_raw", said(c(query), c(text)))
+
+
 def noise_reason(s: Settings = DEFAULT) -> Column:
     """Why a candidate is rejected, the first rule that holds; null if none does or the query has no terms."""
     words, rerank = F.greatest("lexical", "overlap", "phrase"), F.coalesce("rerank", F.lit(0.0))
