@@ -36,6 +36,8 @@ _CHUNK = 1 << 16
 _MASK = (1 << 64) - 1
 #: Counts, by the highest bits of a shingle's hash, that put shingles in order: a table of fixed size, whose errors cost time but no pair.
 ORDER_BITS = 18
+#: Bits that are kept of the hashes of a set: two hashes of a set of 20000 are alike with a chance of one in ten thousand.
+HASH_BITS = 40
 #: Fingerprints of one segment value from which on it is split by whole words.
 CROWD = 64
 #: Words of the fingerprints of sets, and the distance up to which a pair is passed on. At a similarity of 0.8 the distance is 39 on average with a
@@ -43,6 +45,8 @@ CROWD = 64
 SET_WORDS, FAR, SMALL = 4, 72, 64
 #: Members of a key that are compared with others as one block.
 BLOCK = 256
+#: Bits of a map of wanted sets at most (8 MB): beyond some millions of pairs it lets more and more others pass.
+MOST_BITS = 26
 
 
 def _mixed(h: np.ndarray, word: int) -> np.ndarray:
@@ -141,8 +145,8 @@ _PRINT = [f"p{w}" for w in range(SET_WORDS)]
 
 
 def shingle_sets(docs: DataFrame, keys: list[str], text_col: str = "text", shingle: int = 5, seed: int = 42) -> DataFrame:
-    """(keys, d, n, hashes, p0, ...): the shingle set of each row of ``docs``, its size, a digest d that tells sets apart, and its fingerprint."""
-    added = [T.StructField("d", T.LongType()), T.StructField("n", T.LongType()), T.StructField("hashes", T.ArrayType(T.LongType())), *(T.StructField(p, T.LongType()) for p in _PRINT)]
+    """(keys, d, n, hashes, p0, ...): the shingle set of each row of ``docs`` (40 bits of each hash, packed), its size, a digest d that tells sets apart, and its fingerprint."""
+    added = [T.StructField("d", T.LongType()), T.StructField("n", T.LongType()), T.StructField("hashes", T.BinaryType()), *(T.StructField(p, T.LongType()) for p in _PRINT)]
     schema, n = T.StructType([*(docs.schema[k] for k in keys), *added]), len(keys)
 
     def run(batches):
@@ -151,18 +155,25 @@ def shingle_sets(docs: DataFrame, keys: list[str], text_col: str = "text", shing
             digest = np.array([_mixed(x, 1).sum(dtype=np.uint64) for x in sets], dtype=np.uint64).view(np.int64)
             size = np.array([len(x) for x in sets], dtype=np.int64)
             prints = np.array([set_fingerprint(x) for x in sets], dtype=np.int64).reshape(-1, SET_WORDS)
-            hashes = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(np.concatenate([np.empty(0, dtype=np.uint64), *sets]).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(digest), pa.array(size), hashes, *(pa.array(prints[:, w]) for w in range(SET_WORDS))], names=[f.name for f in schema])
+            packed = [(x >> np.uint64(64 - HASH_BITS)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : HASH_BITS // 8].tobytes() for x in sets]
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(digest), pa.array(size), pa.array(packed, type=pa.binary()), *(pa.array(prints[:, w]) for w in range(SET_WORDS))], names=[f.name for f in schema])
 
     return docs.select(*keys, F.col(text_col).cast("string").alias("_t")).mapInArrow(run, schema)
 
 
 def _bucket(hashes: np.ndarray) -> np.ndarray:
-    return (hashes.view(np.uint64) >> np.uint64(64 - ORDER_BITS)).astype(np.int64)
+    return hashes >> HASH_BITS - ORDER_BITS
 
 
 def _values(column) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False)
+    """The hashes of all sets of a packed column, one after the other."""
+    ends = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+    if not len(column) or ends[0] == ends[-1]:
+        return np.zeros(0, dtype=np.int64)
+    raw = np.frombuffer(column.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]].reshape(-1, HASH_BITS // 8)
+    out = np.zeros((len(raw), 8), dtype=np.uint8)
+    out[:, : raw.shape[1]] = raw
+    return out.view("<i8").ravel()
 
 
 def _common(sets: DataFrame) -> np.ndarray:
@@ -175,12 +186,31 @@ def _common(sets: DataFrame) -> np.ndarray:
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["at", "c"])
 
-    found = sets.select("hashes").mapInArrow(run, "at long, c long").groupBy("at").agg(F.sum("c").alias("c")).toPandas()
+    found = sets.select("hashes").mapInArrow(run, "at long, c long").groupBy("at").agg(F.sum("c").alias("c")).toArrow()
     out = np.zeros(1 << ORDER_BITS, dtype=np.int64)
-    out[found["at"].to_numpy(dtype=np.int64)] = found["c"].to_numpy(dtype=np.int64)
+    out[found["at"].to_numpy()] = found["c"].to_numpy()
     return out
 
 
+def _only(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(d, n, h) of the rows of ``sets`` that some pair needs, and of few others: a bitmap of bounded size tells them where they lie, so that the rest isn't shuffled. h has 32 bits of each hash."""
+    wanted = pairs.select(F.col("u").alias("d")).unionByName(pairs.select(F.col("v").alias("d"))).distinct()
+    bits = min(MOST_BITS, max(16, (16 * pairs.count()).bit_length()))
+    place = F.shiftrightunsigned(F.xxhash64("d"), 64 - bits)
+    words = wanted.select(F.shiftright(place, 6).alias("w"), F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(xxhash64(d), {64 - bits}) & 63 AS INT))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
+    bitmap = np.zeros(1 << bits - 6, dtype=np.int64)
+    bitmap[words["w"].to_numpy()] = words["m"].to_numpy()
+
+    def run(batches):
+        for b in batches:
+            at = b.column(3).to_numpy()
+            left = pa.RecordBatch.from_arrays(b.columns[:3], names=["d", "n", "hashes"]).filter(pa.array((bitmap[at >> 6] >> (at & 63) & 1).astype(bool)))
+            ends, values = np.append(0, np.cumsum(left.column(1).to_numpy())).astype(np.int32), _values(left.column(2))
+            yield pa.RecordBatch.from_arrays([left.column(0), left.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(values.astype(np.uint32).view(np.int32)))], names=["d", "n", "h"])
+
+    return sets.select("d", "n", "hashes", place.alias("place")).mapInArrow(run, "d long, n long, h array<int>")
+
+
 def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
     """(u, w, key): for each set the first of its shingles, rarest first, of which sets of this similarity share one. A task tells equal sets once.
 
@@ -225,19 +255,17 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     side = lambda t, name: t.select(*(F.col(x).alias(name if x == "d" else f"{name}_{x}") for x in t.columns))
     distance = sum((F.bit_count(F.col(f"u_{p}").bitwiseXOR(F.col(f"v_{p}"))) for p in _PRINT), F.lit(0))
     pairs = pairs.select("u", "v").distinct().join(side(prints, "u"), "u").join(side(prints, "v"), "v").where((distance <= FAR) | (F.least("u_n", "v_n") < SMALL))
-    pairs, pairs_path = materialize(pairs.select("u", "v"), "pairs")
-    wanted, wanted_path = materialize(pairs.select(F.col("u").alias("d")).unionByName(pairs.select(F.col("v").alias("d"))).distinct(), "wanted")
-    whole = sets.join(wanted, "d", "left_semi").groupBy("d").agg(F.first("n").alias("n"), F.first(F.transform("hashes", lambda h: F.shiftright(h, 32).cast("int"))).alias("h"))
+    pairs, path = materialize(pairs.select("u", "v"), "pairs")
+    whole = _only(sets, pairs).groupBy("d").agg(F.first("n").alias("n"), F.first("h").alias("h"))
     both = F.size(F.array_intersect("u_h", "v_h"))
     near = both >= similarity * (F.col("u_n") + F.col("v_n") - both) - 1e-9
     found, _ = materialize(pairs.join(side(whole, "u"), "u").join(side(whole, "v"), "v").where(near).select("u", "v"), "near")
-    drop(spark, pairs_path)
-    drop(spark, wanted_path)
+    drop(spark, path)
     return found
 
 
 def link_sets(sets: DataFrame, similarity: float) -> DataFrame:
-    """Edges (u, v) that connect, by d, exactly the sets that pairs of ``similarity`` or more connect.
+    """(node, component) of the sets, by d, that pairs of ``similarity`` or more connect with others.
 
     Each set is first compared with the hubs of its keys: the member of a key that shares its keys with most others, which in a group of copies is the
     text that all are near. Two members of a key that are in one component by then need not be compared; all others are, so
@@ -259,9 +287,14 @@ def link_sets(sets: DataFrame, similarity: float) -> DataFrame:
     possible = F.filter("ys", lambda y: _possible(F.col("x.w"), y["w"], similarity))
     pairs = left.join(right, "key").where("a < b").select("x", F.explode(possible).alias("y"))
     more = _verified(pairs.select(F.least("x.u", "y.u").alias("u"), F.greatest("x.u", "y.u").alias("v")), sets, similarity)
+    name = linked.select("node", "component")
+    named = lambda c: F.coalesce(F.col(f"{c}_c"), F.col(c)).alias(c)
+    more = more.join(name.toDF("u", "u_c"), "u", "left").join(name.toDF("v", "v_c"), "v", "left").select(named("u"), named("v"))
+    joined, _ = materialize(connected_components(more), "joined")
     for path in (met_path, weights_path, rest_path):
         drop(spark, path)
-    return near.unionByName(more)
+    known = linked.join(joined.toDF("component", "whole"), "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
+    return known.unionByName(joined.join(linked.select("node"), "node", "left_anti"))
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
@@ -290,7 +323,7 @@ def groups(docs: DataFrame, keys: list[str], text_col: str = "text", shingle: in
     smallest first key of the group (a long); rows whose first key is null are left out. Repeated rows keep their rows; an empty table gives none.
     """
     sets, path = materialize(shingle_sets(docs.where(F.col(keys[0]).isNotNull()), keys, text_col, shingle, seed), "sets")
-    linked, _ = materialize(connected_components(link_sets(sets, similarity)), "linked")
+    linked, _ = materialize(link_sets(sets, similarity), "links")
     slim, _ = materialize(sets.select(*keys, "d"), "digests")
     drop(docs.sparkSession, path)
     classes = slim.groupBy("d").agg(F.min(keys[0]).cast("long").alias("rep"))
