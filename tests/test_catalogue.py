@@ -1,9 +1,11 @@
 """Every query of the catalogue against its SQL, at the smallest scale."""
 
+import signal
+
 import duckdb
 import pytest
 
-from quillspark.plans import catalogue, profile_queries  # noqa: F401
+from quillspark.plans import catalogue, literal_queries, profile_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -22,6 +24,20 @@ def rows(columns, found):
     return sorted((tuple(r[i] for i in order) for r in found), key=lambda r: tuple(map(repr, r)))
 
 
+@pytest.fixture(autouse=True)
+def limited():
+    """One query that never ends must not take the others with it."""
+
+    def stop(*_):
+        raise TimeoutError("the query took more than 180 seconds")
+
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.alarm(180)
+    yield
+    signal.alarm(0)
+    signal.signal(signal.SIGALRM, before)
+
+
 @pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
 def test_query(spark, con, name):
     df = catalogue.QUERIES[name](spark, SF)
