@@ -56,6 +56,14 @@ def nearest_rank(column: str, p: float) -> Column:
     return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {column})")
 
 
+def nearest_ranks(rows: DataFrame, by: list[str], value: str, places: dict[str, float]) -> DataFrame:
+    """(by, one column for each of ``places``): the same over large groups. Equal values are counted before the shuffle, and no group is held in a buffer."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    ordered = Window.partitionBy(*by).orderBy("v")
+    seen = counts.withColumn("seen", F.sum("n").over(ordered)).withColumn("all", F.sum("n").over(Window.partitionBy(*by)))
+    return seen.groupBy(*by).agg(*(F.min(F.when(F.col("seen") >= F.ceil(p * F.col("all") - 1e-9), F.col("v"))).alias(name) for name, p in places.items()), F.max("v").alias("worst"))
+
+
 def grid(*axes: DataFrame) -> DataFrame:
     """All combinations of a few short lists of settings."""
     out = axes[0]

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark import fixed_values as fixed
 from quillspark.functions import text as tx
-from quillspark.operators import chunking, classify, evaluate, recall, scoring
+from quillspark.operators import chunking, classify, evaluate, matching, recall, scoring
 from quillspark.plans import retrieve
+from quillspark.session import prepared
 from quillspark.sources import files, store
+from quillspark.sources.scratch import written
 from quillspark.streaming import telemetry
 
 QUERIES: dict = {}
@@ -18,10 +22,14 @@ SQL: dict[str, str] = {}
 
 def query(sql: str | None = None):
     def register(f):
-        QUERIES[f.__name__] = f
+        @wraps(f)
+        def run(spark, sf_dir):
+            return f(prepared(spark), sf_dir)
+
+        QUERIES[f.__name__] = run
         if sql:
             SQL[f.__name__] = sql
-        return f
+        return run
 
     return register
 
@@ -85,10 +93,14 @@ def keyword_list(spark, sf_dir) -> DataFrame:
     return recall.keyword(bench_terms(spark, sf_dir), doc_tokens(spark, sf_dir))
 
 
-def coverage_list(spark, sf_dir) -> DataFrame:
+def both_lists(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The list by counts of query words and the one by the share of the query's words, from one written table of what each document has of each query."""
     wanted = bench_terms(spark, sf_dir).withColumn("m", F.count("*").over(Window.partitionBy("query_id")))
-    hits = doc_tokens(spark, sf_dir).join(wanted, "term").groupBy("query_id", "fragment_id").agg(F.count("*").alias("c"), F.max("m").alias("m"))
-    return recall.top(hits, 60, F.desc("c"), F.col("fragment_id")).select("query_id", "fragment_id", (F.col("c") / F.col("m")).alias("overlap"), "rank")
+    met = doc_tokens(spark, sf_dir).join(wanted, "term").groupBy("query_id", "fragment_id").agg(F.sum("tf").alias("n"), F.count("*").alias("c"), F.max("m").alias("m"))
+    met = written(met, "met")
+    by_count = recall.top(met.select("query_id", "fragment_id", "n"), 60, F.desc("n"), F.col("fragment_id")).withColumn("lexical_score", F.col("n") / (F.col("n") + 5.0))
+    by_share = recall.top(met.select("query_id", "fragment_id", "c", "m"), 60, F.desc("c"), F.col("fragment_id")).select("query_id", "fragment_id", (F.col("c") / F.col("m")).alias("overlap"), "rank")
+    return by_count, by_share
 
 
 # --- ingestion ---------------------------------------------------------------------------------------------------------
@@ -280,8 +292,8 @@ def bm25_pool(spark, sf_dir):
 
 @query(f"WITH {_CV}, {_RRF} SELECT query_id, fragment_id, round(rrf_score, 6) AS rrf_score FROM r")
 def rrf_fusion(spark, sf_dir):
-    lists = keyword_list(spark, sf_dir).select("query_id", "fragment_id", "rank").unionByName(coverage_list(spark, sf_dir).select("query_id", "fragment_id", "rank"))
-    return recall.rrf(lists).select("query_id", "fragment_id", F.round("rrf_score", 6).alias("rrf_score"))
+    kw, cv = both_lists(spark, sf_dir)
+    return recall.rrf(kw.select("query_id", "fragment_id", "rank").unionByName(cv.select("query_id", "fragment_id", "rank"))).select("query_id", "fragment_id", F.round("rrf_score", 6).alias("rrf_score"))
 
 
 _MERGE = """m AS (SELECT query_id, fragment_id, min(l) AS first_list, max(lexical_score) AS lexical_score, max(overlap) AS overlap FROM
@@ -290,27 +302,26 @@ _MERGE = """m AS (SELECT query_id, fragment_id, min(l) AS first_list, max(lexica
 
 @query(f"WITH {_CV}, {_MERGE} SELECT query_id, fragment_id, first_list, round(lexical_score, 6) AS lexical_score, round(overlap, 6) AS overlap FROM m")
 def merge_candidates(spark, sf_dir):
-    m = recall.merge(keyword_list(spark, sf_dir), coverage_list(spark, sf_dir), scores=["lexical_score", "overlap"])
+    m = recall.merge(*both_lists(spark, sf_dir), scores=["lexical_score", "overlap"])
     return m.select("query_id", "fragment_id", "first_list", F.round("lexical_score", 6).alias("lexical_score"), F.round("overlap", 6).alias("overlap"))
 
 
 @query(f"""WITH {_CV}, d AS (SELECT query_id, fragment_id, 60 / (60 + rank - 1.0) AS d FROM cv), w AS (SELECT query_id, fragment_id, 60 / (60 + rank - 1.0) AS w FROM kw)
 SELECT query_id, fragment_id AS source, round(CASE WHEN coalesce(w, 0) > 0 THEN 0.3 * coalesce(d, 0) + 0.7 * w ELSE least(0.3 * d, 0.15) END, 6) AS document_score FROM d FULL JOIN w USING (query_id, fragment_id)""")
 def document_level_scores(spark, sf_dir):
-    d, w = coverage_list(spark, sf_dir), keyword_list(spark, sf_dir)
+    w, d = both_lists(spark, sf_dir)
     return recall.document_scores(d.withColumnRenamed("fragment_id", "source"), w.withColumnRenamed("fragment_id", "source")).withColumn("document_score", F.round("document_score", 6))
 
 
 @query(f"WITH {_CV} SELECT query_id, fragment_id, round(max(s), 6) AS score FROM (SELECT query_id, fragment_id, lexical_score AS s FROM kw UNION ALL SELECT query_id, fragment_id, overlap * 0.9 FROM cv) GROUP BY ALL")
 def multi_query_max(spark, sf_dir):
-    a = keyword_list(spark, sf_dir).select("query_id", "fragment_id", F.col("lexical_score").alias("s"))
-    b = coverage_list(spark, sf_dir).select("query_id", "fragment_id", (F.col("overlap") * 0.9).alias("s"))
-    return a.unionByName(b).groupBy("query_id", "fragment_id").agg(F.round(F.max("s"), 6).alias("score"))
+    kw, cv = both_lists(spark, sf_dir)
+    return recall.weighted_max(kw.select("query_id", "fragment_id", F.col("lexical_score").alias("score")), cv.select("query_id", "fragment_id", F.col("overlap").alias("score"))).withColumn("score", F.round("score", 6))
 
 
 def candidates(spark, sf_dir) -> DataFrame:
     """Both lists fused, with the columns that preranking needs."""
-    kw, cv = keyword_list(spark, sf_dir), coverage_list(spark, sf_dir)
+    kw, cv = both_lists(spark, sf_dir)
     fused = recall.rrf(kw.select("query_id", "fragment_id", "rank").unionByName(cv.select("query_id", "fragment_id", "rank")))
     merged = recall.merge(kw, cv, scores=["lexical_score", "overlap"]).join(fused, ["query_id", "fragment_id"])
     zero = {c: F.lit(v) for c, v in (("dense_score", 0.0), ("document_score", 0.0), ("subject_score", 0.5))}
@@ -350,17 +361,17 @@ def lexical_overlap(spark, sf_dir):
     return p.select("query_id", "fragment_id", F.round(tx.overlap(tx.query_terms(F.col("query")), tx.tokens(F.col("text"))), 6).alias("overlap"))
 
 
-def _pairs(tokens):
-    return F.transform(F.sequence(F.lit(1), F.size(tokens) - 1), lambda i: F.concat_ws(" ", F.get(tokens, i - 1), F.get(tokens, i)))
+_IS_PLAIN = "length({0}) >= 4 AND {0} NOT IN " + _STOP
+_PHRASES = f"""list_distinct(list_filter(list_transform(range(1, len(qa)), lambda i: CASE WHEN (regexp_matches(qa[i + 1], '^([0-9]+|[ivxlcdm]+)$') AND qa[i] NOT IN {_STOP} AND NOT (length(qa[i]) = 1 AND NOT regexp_matches(qa[i], '[0-9]')))
+OR ({_IS_PLAIN.format('qa[i]')} AND {_IS_PLAIN.format('qa[i + 1]')}) THEN {_stem('qa[i]')} || ' ' || {_stem('qa[i + 1]')} END), lambda x: x IS NOT NULL))"""
 
 
-@query(f"""WITH {_PT}, g AS (SELECT query_id, fragment_id, list_distinct(list_transform(range(1, len(qa)), lambda i: qa[i] || ' ' || qa[i + 1])) AS p, ' ' || array_to_string(t, ' ') || ' ' AS s FROM t)
-SELECT query_id, fragment_id, round(len(list_filter(p, lambda x: contains(s, ' ' || x || ' '))) / CAST(len(p) AS DOUBLE), 6) AS phrase FROM g""")
+@query(f"""WITH {_PT}, g AS (SELECT query_id, fragment_id, {_PHRASES} AS p, ' ' || array_to_string(list_transform(t, lambda x: {_stem('x')}), ' ') || ' ' AS s FROM t)
+SELECT query_id, fragment_id, CASE WHEN len(p) = 0 THEN 0.0 ELSE round(len(list_filter(p, lambda x: contains(s, ' ' || x || ' '))) / CAST(len(p) AS DOUBLE), 6) END AS phrase FROM g""")
 def phrase_match(spark, sf_dir):
-    p = pool_texts(spark, sf_dir).select("query_id", "fragment_id", tx.tokens(F.col("query")).alias("qa"), F.concat(F.lit(" "), F.array_join(tx.tokens(F.col("text")), " "), F.lit(" ")).alias("s"))
-    p = p.withColumn("p", F.array_distinct(_pairs(F.col("qa"))))
-    hit = F.filter("p", lambda x: F.contains(F.col("s"), F.concat(F.lit(" "), x, F.lit(" "))))
-    return p.select("query_id", "fragment_id", F.round(F.size(hit) / F.size("p"), 6).alias("phrase"))
+    """The share of a query's phrases that each document of its pool has."""
+    p = pool_texts(spark, sf_dir).select("query_id", "fragment_id", matching.phrases(tx.tokens(F.col("query"))).alias("p"), matching.stems(tx.tokens(F.col("text"))).alias("s"))
+    return p.select("query_id", "fragment_id", F.round(matching.share(F.col("p"), F.col("s")), 6).alias("phrase"))
 
 
 @query(f"""WITH c AS (SELECT conv_id, turn, list_distinct({_tok('text')}) AS t, lag(list_distinct({_tok('text')})) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations)
@@ -522,7 +533,7 @@ def category_rollup(spark, sf_dir):
 
 @query("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, max(value) AS worst FROM events GROUP BY 1")
 def latency_percentiles(spark, sf_dir):
-    return read(spark, sf_dir, "events").groupBy("event_type").agg(evaluate.nearest_rank("value", 0.5).alias("p50"), evaluate.nearest_rank("value", 0.95).alias("p95"), F.max("value").alias("worst"))
+    return evaluate.nearest_ranks(read(spark, sf_dir, "events"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95})
 
 
 @query("""WITH g AS (SELECT * FROM range(1, 4) a(i) CROSS JOIN range(1, 4) b(j) CROSS JOIN range(1, 4) c(k)), p AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rank FROM embeddings)

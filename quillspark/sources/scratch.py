@@ -9,6 +9,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillspark.session import prepared
+
 _own: dict[str, str] = {}
 
 
@@ -27,7 +29,7 @@ def folder(spark: SparkSession) -> str:
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a table that was written and is read again: lineage and plan end in files, and later steps see plain columns."""
-    spark = df.sparkSession
+    spark = prepared(df.sparkSession)
     path = f"{folder(spark)}/quillspark/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

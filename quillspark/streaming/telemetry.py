@@ -46,7 +46,10 @@ def admit(times: list[float], new: list[float], limit: int, seconds: int) -> tup
 
 
 def sliding_exact(events: DataFrame, limit: int, seconds: int = 60, ts: str = "ts", key: str = "key", id_col: str = "event_id") -> DataFrame:
-    """(id, key, admitted) by a sliding log that forgets rejected calls; a fold in time order, one group for each key."""
+    """(id, key, admitted) by a sliding log that forgets rejected calls: a fold in time order over each busy spell of a key.
+
+    A pause of a window's length empties the log, so the calls on either side of it are independent and are folded apart.
+    """
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["t", id_col])
@@ -61,7 +64,9 @@ def sliding_exact(events: DataFrame, limit: int, seconds: int = 60, ts: str = "t
 
     kinds = {f.name: f.dataType.simpleString() for f in events.schema}
     timed = events.select(id_col, key, (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("t"))
-    return timed.groupBy(key).applyInPandas(fold, f"{id_col} {kinds[id_col]}, {key} {kinds[key]}, admitted boolean")
+    by = Window.partitionBy(key).orderBy("t", id_col)
+    spells = timed.withColumn("spell", F.coalesce((F.col("t") - F.lag("t").over(by) >= seconds).cast("int"), F.lit(1))).withColumn("spell", F.sum("spell").over(by))
+    return spells.groupBy(key, "spell").applyInPandas(fold, f"{id_col} {kinds[id_col]}, {key} {kinds[key]}, admitted boolean")
 
 
 def stream_sliding(events: DataFrame, limit: int, seconds: int = 60, ts: str = "ts", key: str = "key", late: str = "1 minute") -> DataFrame:

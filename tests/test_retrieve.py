@@ -50,3 +50,15 @@ def test_sections_and_boundaries(spark):
     plan = matching.boundary_penalty(F.array(F.lit("plan word")), F.col("text"), F.col("st"), F.lit("schema_or_plan")).alias("p")
     assert round(values(spark, "q", "plan word a b c d e plan word", plan).p, 2) == 0.14
     assert values(spark, "q", "plan word 1. a 2. b 3. c", plan).p == 0.0
+
+
+def test_a_union_of_windows_groups_once(spark):
+    from pyspark.sql import functions as F
+
+    from quillspark.operators import recall
+    from quillspark.session import prepared
+
+    rows = prepared(spark).range(4000).select((F.col("id") % 40).alias("query_id"), F.col("id").alias("fragment_id"), F.rand(1).alias("a"), F.rand(2).alias("b"))
+    one, two = (recall.top(rows.select("query_id", "fragment_id", x), 60, F.col(x)).select("query_id", "fragment_id", "rank") for x in "ab")
+    fused = recall.rrf(one.unionByName(two)).join(recall.merge(one.withColumn("s", F.lit(1.0)), two.withColumn("s", F.lit(0.5)), scores=["s"]), ["query_id", "fragment_id"])
+    assert fused.count() == fused.select("query_id", "fragment_id").distinct().count()
