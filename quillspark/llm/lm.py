@@ -3,7 +3,8 @@
 Three relations are joined by hash. ``chunks``: a few million tokens of documents in one row, with a word list. ``wanted``: each chunk's different
 n-grams with their counts in it, sorted by hash and cut into buckets; a bucket of all chunks is one partition of the
 n-gram count table. ``answers``: for each n-gram that a chunk asked for, how often all other chunks have it. Rows hold packed
-arrays, so that an n-gram costs a few bytes of shuffle once for each chunk that has it, however often it occurs, and no n-gram is hot.
+arrays, so that an n-gram costs a few bytes of shuffle once for each chunk that has it, however often it occurs, and no n-gram is hot. A chunk has a row for
+each bucket in which it has an n-gram, so never more rows than different n-grams. One row for each n-gram instead would shuffle more than four times the input.
 """
 
 from __future__ import annotations
@@ -121,7 +122,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     A pair of words that other documents have scores its count there over the first word's; else BACKOFF times the second word's share;
     else, where no other document has the word, BACKOFF squared over the number of tokens. A first word starts from its share. Null and empty texts have
-    no tokens, logprob 0 and score null; null and repeated ids keep their rows; other columns are ignored.
+    no tokens, logprob 0 and score null; very long texts are scored whole (such a text is a chunk of its own); null and repeated ids keep their rows; other columns
+    are ignored; an empty table gives an empty result.
     """
     held, _ = materialize(chunks(docs, id_col, text_col), "chunks")
     total, number = held.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()

@@ -301,8 +301,8 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(doc_id, fingerprint, component_id) for every row of ``docs``: fingerprints link at two or fewer differing bits.
 
     component_id is the smallest id reachable, a document itself included. Null and wordless texts
-    have fingerprint zero and link like any other. Repeated ids give repeated rows; a null id has a row but
-    never names a component (a component of null ids alone has component_id null). Other columns are ignored.
+    have fingerprint zero and link like any other; very long texts count whole. Repeated ids give repeated rows; a null id has a row but
+    never names a component (a component of null ids alone has component_id null). Other columns are ignored; an empty table gives an empty result.
     """
     prints, _ = materialize(fingerprints(docs, [id_col], text_col, shingle, seed), "simhash")
     classes = prints.groupBy("f0").agg(F.min(id_col).alias("rep"))

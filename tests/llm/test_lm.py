@@ -55,3 +55,12 @@ def test_edges(spark):
     assert got == [(0, 2), (1, 2), (1, 2), (2, 0)]
     assert lm.score(odd.limit(0)).count() == 0
     assert lm.score(odd.where("doc_id = 2")).collect()[0].n_tokens == 0
+
+
+def test_a_very_long_text(spark, monkeypatch):
+    monkeypatch.setattr(lm, "CHUNK_TOKENS", 1000)
+    texts = ["a b c " * 20_000, "a b d", "c a", None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in lm.score(docs).collect()}
+    for i, (n, s) in enumerate(brute(texts)):
+        assert got[i].n_tokens == n and abs(got[i].logprob - s) < 1e-3 * max(1, n)
