@@ -43,6 +43,8 @@ CROWD = 64
 #: Words of the fingerprints of sets, and the distance up to which a pair is passed on. At a similarity of 0.8 the distance is 39 on average with a
 #: deviation of 6, so a pair is lost with a chance below 1e-7. Sets of fewer than SMALL shingles, whose bits are coarser, are all passed on.
 SET_WORDS, FAR, SMALL = 4, 72, 64
+#: The same for the first word alone, which pairs are tried by as they are made: 10 on average with a deviation of 3.
+FAR_WORD = 28
 #: Members of a key that are compared with others as one block.
 BLOCK = 256
 #: Bits of a map of wanted sets at most (8 MB): beyond some millions of pairs it lets more and more others pass.
@@ -273,26 +275,31 @@ def link_sets(sets: DataFrame, similarity: float) -> DataFrame:
     """
     spark, by_key = sets.sparkSession, Window.partitionBy("key")
     met = _prefixes(sets, similarity).select("key", "u", "w", F.lag("u").over(by_key.orderBy("u")).alias("before"), F.min("u").over(by_key).alias("least"), F.max("u").over(by_key).alias("most"), F.count("*").over(by_key).alias("m"))
-    met, met_path = materialize(met.where("most <> least AND (before IS NULL OR before <> u)").select("key", "u", "w", "m"), "met")
-    weights, weights_path = materialize(met.groupBy("u").agg(F.sum("m").alias("weight")), "weights")
-    hubs = met.join(weights, "u").groupBy("key").agg(F.max(F.struct("weight", "u", "w")).alias("h")).select("key", F.col("h.u").alias("v"), F.col("h.w").alias("v_w"))
-    near = _verified(met.join(hubs, "key").where((F.col("u") != F.col("v")) & _possible(F.col("w"), F.col("v_w"), similarity)), sets, similarity)
+    met = met.where("most <> least AND (before IS NULL OR before <> u)").groupBy("u").agg(F.sum("m").alias("weight"), F.collect_list(F.struct("key", "w")).alias("items"))
+    # one row for each set with its shared keys, no more than its prefix has
+    met, met_path = materialize(met.join(sets.select(F.col("d").alias("u"), "p0").dropDuplicates(["u"]), "u"), "met")
+    each = lambda t, *more: t.select("u", "p0", *more, F.explode("items").alias("i")).select(F.col("i.key").alias("key"), F.struct("u", F.col("i.w").alias("w"), "p0", *more).alias("x"))
+
+    def possible(x, y):
+        near = F.bit_count(x["p0"].bitwiseXOR(y["p0"])) <= FAR_WORD
+        small = F.least(F.shiftright(x["w"], 32), F.shiftright(y["w"], 32)) < SMALL
+        return (x["u"] != y["u"]) & _possible(x["w"], y["w"], similarity) & (near | small)
+
+    hub = F.max(F.struct(F.col("x.weight"), F.col("x"))).over(by_key)["x"]
+    near = _verified(each(met, "weight").withColumn("hub", hub).where(possible(F.col("x"), F.col("hub"))).select(F.col("x.u").alias("u"), F.col("hub.u").alias("v")), sets, similarity)
     linked, _ = materialize(connected_components(near), "linked")
-    rest = met.select("key", "u", "w").join(linked, met["u"] == linked["node"], "left").select("key", "u", "w", F.coalesce("component", "u").alias("c"))
-    rest = rest.withColumn("least", F.min("c").over(by_key)).withColumn("most", F.max("c").over(by_key)).where("least <> most")
-    rest, rest_path = materialize(rest.select("key", "u", "w", "c"), "rest")
-    sizes = rest.groupBy("key", "c").count()
-    blocks = rest.join(sizes, ["key", "c"]).withColumn("block", F.pmod(F.xxhash64("u"), F.ceil(F.col("count") / BLOCK))).groupBy("key", "c", "block").agg(F.collect_list(F.struct("u", "w")).alias("ys"))
-    left, right = rest.select("key", F.col("c").alias("a"), F.struct("u", "w").alias("x")), blocks.select("key", F.col("c").alias("b"), "ys")
-    possible = F.filter("ys", lambda y: _possible(F.col("x.w"), y["w"], similarity))
-    pairs = left.join(right, "key").where("a < b").select("x", F.explode(possible).alias("y"))
+    rest = each(met.join(linked, met["u"] == linked["node"], "left").withColumn("c", F.coalesce("component", "u")), "c")
+    rest = rest.withColumns({"least": F.min("x.c").over(by_key), "most": F.max("x.c").over(by_key), "m": F.count("*").over(by_key)}).where("least <> most")
+    # everything from here to the pairs stays where the keys are; a crowded key meets itself block by block
+    blocks = rest.withColumn("block", F.pmod(F.xxhash64("x.u"), F.ceil(F.col("m") / BLOCK))).groupBy("key", "block").agg(F.collect_list("x").alias("ys"))
+    others = F.filter("ys", lambda y: (F.col("x.c") < y["c"]) & possible(F.col("x"), y))
+    pairs = rest.select("key", "x").join(blocks, "key").select("x", F.explode(others).alias("y"))
     more = _verified(pairs.select(F.least("x.u", "y.u").alias("u"), F.greatest("x.u", "y.u").alias("v")), sets, similarity)
     name = linked.select("node", "component")
     named = lambda c: F.coalesce(F.col(f"{c}_c"), F.col(c)).alias(c)
     more = more.join(name.toDF("u", "u_c"), "u", "left").join(name.toDF("v", "v_c"), "v", "left").select(named("u"), named("v"))
     joined, _ = materialize(connected_components(more), "joined")
-    for path in (met_path, weights_path, rest_path):
-        drop(spark, path)
+    drop(spark, met_path)
     known = linked.join(joined.toDF("component", "whole"), "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
     return known.unionByName(joined.join(linked.select("node"), "node", "left_anti"))
 
@@ -344,12 +351,14 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     keyed = boxed(docs, id=F.col(id_col), hash=F.xxhash64(F.col(text_col).cast("string")))
     found, _ = materialize(groups(keyed.select("id", "hash", F.col(f"row.{text_col}").alias("text")), ["id", "hash"], "text", **options), "groups")
-    keys = found.groupBy("component", "id", "hash").count()
-    first = keys.groupBy("component").agg(F.min(F.struct("id", "hash")).alias("f"))
-    told = keys.join(first, "component")
-    stays = (F.col("id") == F.col("f.id")) & (F.col("hash") == F.col("f.hash"))
-    gone, _ = materialize(told.where(~stays | (F.col("count") > 1)).select("id", "hash").distinct(), "gone")
-    repeated, _ = materialize(told.where(stays & (F.col("count") > 1)).select("id", "hash"), "repeated")
+    keys = found.groupBy("component", "component_id", "id", "hash").count()
+    # only rows with the group's smallest id can stay: they are few in a group, however large it is
+    head = keys.where(F.col("id").cast("long") == F.col("component_id"))
+    first = head.groupBy("component").agg(F.min("hash").alias("least"))
+    head = head.join(first, "component").withColumn("stays", F.col("hash") == F.col("least"))
+    others = keys.where(F.col("id").cast("long") != F.col("component_id")).select("id", "hash")
+    gone, _ = materialize(others.unionByName(head.where("NOT stays OR count > 1").select("id", "hash")).distinct(), "gone")
+    repeated, _ = materialize(head.where("stays AND count > 1").select("id", "hash"), "repeated")
     single = keyed.join(gone, ["id", "hash"], "left_anti")
     merged = keyed.join(repeated, ["id", "hash"], "left_semi").dropDuplicates(["id", "hash"])
     return single.unionByName(merged).select("row.*")
