@@ -62,3 +62,42 @@ def test_a_union_of_windows_groups_once(spark):
     one, two = (recall.top(rows.select("query_id", "fragment_id", x), 60, F.col(x)).select("query_id", "fragment_id", "rank") for x in "ab")
     fused = recall.rrf(one.unionByName(two)).join(recall.merge(one.withColumn("s", F.lit(1.0)), two.withColumn("s", F.lit(0.5)), scores=["s"]), ["query_id", "fragment_id"])
     assert fused.count() == fused.select("query_id", "fragment_id").distinct().count()
+
+
+def test_dense_recall_equals_brute_force(spark, monkeypatch):
+    import numpy as np
+
+    from quillspark.operators import recall
+
+    monkeypatch.setattr(recall, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(recall, "_SLACK", 0)
+    rng = np.random.default_rng(3)
+    rows = [(i, i // 3, f"g{i % 5}", [float(x) for x in rng.integers(-2, 3, 4 if i % 10 else 3)]) for i in range(400)] + [(900, 300, "g0", None), (901, 301, "g1", [0.0] * 4)]
+    vectors = spark.createDataFrame(rows, "subchunk_id long, fragment_id long, label string, embedding array<double>").repartition(3)
+    queries = spark.createDataFrame([(i, r[3]) for i, r in enumerate(rows[:30])], "query_id int, query_vector array<double>")
+
+    def cosine(a, b):
+        n = np.linalg.norm(a) * np.linalg.norm(b)
+        return float(np.dot(a, b) / n) if n else 0.0
+
+    got, near = {}, {}
+    for r in recall.dense(queries, vectors, 5, 3).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.fragment_id, round(r.distance, 9)))
+    for r in recall.nearest_of(queries, vectors, "label").collect():
+        near.setdefault(r.query_id, {})[r.label] = round(r.distance, 9)
+    for q, row in enumerate(rows[:30]):
+        all_ = sorted((round(1 - cosine(row[3], v), 9), s, f, g) for s, f, g, v in rows if v is not None and len(v) == len(row[3]))
+        best = {}
+        for d, s, f, _ in all_[:15]:
+            best.setdefault(f, d)
+        want = sorted((d, f) for f, d in best.items())[:5]
+        assert sorted(got[q]) == [(n + 1, f, d) for n, (d, f) in enumerate(want)] or [d for _, _, d in sorted(got[q])] == [d for d, _ in want]
+        assert near[q] == {g: min(d for d, _, _, h in all_ if h == g) for g in {x[3] for x in all_}}
+
+
+def test_retrieval_with_vectors(spark):
+    fragments = spark.createDataFrame([(1, "a", "Plants turn light into sugar in their leaves every day of the year."), (2, "b", "Volcanoes throw lava and ash from deep below the ground at times."), (3, "a", "Leaves of plants fall in autumn when light grows short and cold.")], "fragment_id long, source string, text string")
+    vectors = spark.createDataFrame([(1, 1, [1.0, 0.0]), (2, 2, [0.0, 1.0]), (3, 3, [0.9, 0.1])], "subchunk_id long, fragment_id long, embedding array<double>")
+    queries = spark.createDataFrame([(1, "plants light leaves", [1.0, 0.05], ["green sugar"])], "query_id int, query string, query_vector array<double>, variants array<string>")
+    hits = retrieve.retrieve(queries, fragments, vectors=vectors).orderBy("rank").collect()
+    assert [h.fragment_id for h in hits][:1] in ([1], [3]) and all(h.source == "a" for h in hits)
