@@ -4,7 +4,7 @@ Three relations are joined by hash. ``chunks``: a few million tokens of document
 n-grams with their counts in it, sorted by hash and cut into buckets; a bucket of all chunks is one partition of the
 n-gram count table. ``answers``: for each n-gram that a chunk asked for, how often all other chunks have it. Rows hold packed
 arrays, so that an n-gram costs a few bytes of shuffle once for each chunk that has it, however often it occurs, and no n-gram is hot. A chunk has a row for
-each bucket in which it has an n-gram, so never more rows than different n-grams. One row for each n-gram instead would shuffle more than four times the input.
+each bucket in which it has an n-gram, so never more rows than different n-grams. By estimate one row for each n-gram instead would shuffle about four times the input.
 """
 
 from __future__ import annotations

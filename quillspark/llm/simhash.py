@@ -11,7 +11,7 @@ fetched: its members and those that ask for it meet by the balls of radius one r
 Linking by sets (``link_sets``), for similarities well below one, where segments of fingerprints find only some of the pairs (at a Jaccard similarity
 of 0.8 a fingerprint differs in every seventh bit; 97 % of the pairs would cost some 300 keys a text), is exact over the sets of shingles
 themselves. All shingles are put in one order, by how common they are; texts of a similarity t share one of the first n - ceil(t n) + 1 of
-their n shingles, 75 keys for an average text, so texts that share none, or the first one too late in the order, are never compared. Fingerprints of 256 bits pass a pair on by their
+their n shingles, some 100 keys for an average text, so texts that share none, or the first one too late in the order, are never compared. Fingerprints of 256 bits pass a pair on by their
 complete distance, and its similarity is computed from both sets. Each text is first compared with the hubs of its
 keys; members of a key that are not connected by this are compared with one another, in blocks.
 """
