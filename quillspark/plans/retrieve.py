@@ -151,6 +151,35 @@ def chosen(rows: DataFrame, k: int, s: Settings = DEFAULT) -> DataFrame:
     return scoring.mmr(slim, k, s).drop("forms")
 
 
+def by_relevance(rows: DataFrame) -> DataFrame:
+    """``matched`` rows ranked by their final score alone, rejected ones too."""
+    return recall.top(scored(rows).drop("reason"), 1 << 30, F.desc("final"), c("fragment_id"))
+
+
+def select_final(rows: DataFrame, k: int, min_score: float, include: tuple[str, ...] = (), s: Settings = DEFAULT) -> DataFrame:
+    """k unlike rows of each query out of ``scored`` ones, whatever noise rules say: above ``min_score``, of the kinds allowed, without the tail."""
+    barred = {"toc": c("is_toc"), "low_quality": c("low_quality"), "navigation": c("chunk_type") == "navigation_index"}
+    own = rows.where(c("final") >= min_score)
+    for name, when in barred.items():
+        own = own if name in include else own.where(~when)
+    return chosen(own.withColumns({"reason": F.lit(None).cast("string"), "overlap": F.lit(0.0)}), k, s)
+
+
+def as_hits(hits: DataFrame, fragments: DataFrame, return_text: bool = False, return_context: bool = False, neighbours: int = DEFAULT.neighbours) -> DataFrame:
+    """Hits as they are handed out: query_id, rank, fragment_id, source, score, snippet, and the text and the context (with its neighbours) where asked for.
+
+    ``fragments`` needs element_index and section for the context. Only fragments of sources that have hits are looked at.
+    """
+    out = hits.select("query_id", "rank", "fragment_id", "source", F.round("final", 6).alias("score"), "chunk_type", "snippet")
+    if return_text:
+        out = out.join(fragments.select("fragment_id", "text"), "fragment_id")
+    if return_context:
+        near = fragments.join(hits.select("source").distinct(), "source", "left_semi")
+        around = scoring.context_window(near, "source", "element_index", "section", "text", neighbours)
+        out = out.join(around.select("fragment_id", "context_size", "context"), "fragment_id")
+    return out
+
+
 def retrieve(queries: DataFrame, fragments: DataFrame, k: int = 5, vectors: DataFrame | None = None, settings: Settings = DEFAULT, subject_of: DataFrame | None = None, terms: DataFrame | None = None, **options) -> DataFrame:
     """(query_id, fragment_id, source, final, overlap, chunk_type, quality_score, snippet, rank) of the k best fragments of each query; ``assessed`` says what the parameters are."""
     return chosen(assessed(queries, fragments, k, vectors, settings, subject_of, terms, **options), k, settings)

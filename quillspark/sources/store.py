@@ -50,6 +50,17 @@ def reembed(vectors: DataFrame, encoded: DataFrame, key: str, vector: str, dim:
     return back
 
 
+def backed_up(vectors: DataFrame, key: str, vector: str, path: str) -> DataFrame:
+    """A copy of the vectors by their keys at a new place, checked by its rows and a checksum over keys and vectors; what ``restore`` takes."""
+    own = vectors.select(key, vector)
+    own.write.mode("errorifexists").parquet(path)
+    back = vectors.sparkSession.read.parquet(path)
+    told = [df.agg(F.count("*"), F.sum(F.xxhash64(key, vector).cast("decimal(38,0)"))).first() for df in (own, back)]
+    if told[0] != told[1]:
+        raise ValueError(f"{told[0][0]} vectors, {told[1][0]} in the backup, or others")
+    return back
+
+
 def restore(current: DataFrame, backup: DataFrame, key: str, vector: str) -> DataFrame:
     """``current`` with the backup's vectors where there are any."""
     old = backup.select(key, F.col(vector).alias("_old"))

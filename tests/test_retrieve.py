@@ -101,3 +101,29 @@ def test_retrieval_with_vectors(spark):
     queries = spark.createDataFrame([(1, "plants light leaves", [1.0, 0.05], ["green sugar"])], "query_id int, query string, query_vector array<double>, variants array<string>")
     hits = retrieve.retrieve(queries, fragments, vectors=vectors).orderBy("rank").collect()
     assert [h.fragment_id for h in hits][:1] in ([1], [3]) and all(h.source == "a" for h in hits)
+
+
+def test_selection_and_shaping(spark, tmp_path):
+    from quillspark.sources import store
+
+    texts = ["Plants turn light into sugar in their leaves every day of the year, and store it in roots.", "Volcanoes throw lava and ash from deep below the ground at times, and people flee from them.", "Light falls on leaves of plants in spring, when days grow long and warm and rain is frequent."]
+    fragments = spark.createDataFrame([(i, "a" if i < 9 else "b", t, i, "s", None) for i, t in enumerate(texts * 3)], "fragment_id long, source string, text string, element_index long, section string, page int")
+    queries = spark.createDataFrame([(1, "plants light leaves")], "query_id int, query string")
+    rows = retrieve.assessed(queries, fragments)
+    final = retrieve.select_final(rows, 2, 0.0).collect()
+    assert len(final) == 2 and {r.rank for r in final} == {1, 2} and not retrieve.select_final(rows, 2, 1.1).count()
+    shaped = retrieve.as_hits(retrieve.chosen(rows, 2), fragments, True, True).collect()
+    assert shaped and all(r.text in texts and r.text[:40] in r.context and r.context_size >= 2 for r in shaped)
+    ranked = retrieve.by_relevance(retrieve.matched(pool(spark, queries, fragments))).orderBy("rank").collect()
+    assert [r.final for r in ranked] == sorted((r.final for r in ranked), reverse=True) and len(ranked) == 6
+    vectors = spark.createDataFrame([(1, [1.0]), (2, [2.0])], "id int, v array<double>")
+    kept = store.backed_up(vectors, "id", "v", str(tmp_path / "backup"))
+    assert sorted(map(tuple, store.restore(vectors.withColumn("v", F.lit(None).cast("array<double>")), kept, "id", "v").collect())) == [(1, [1.0]), (2, [2.0])]
+
+
+def pool(spark, queries, fragments):
+    from quillspark.operators import classify, recall
+
+    asked = classify.analyzed(queries)
+    found = recall.balanced(retrieve.candidates(asked, fragments, retrieve.terms_of(fragments)), 12)
+    return found.join(fragments.withColumn("title", F.lit(None).cast("string")), "fragment_id").join(asked.select("query_id", "normalized", "key_terms", "query_type", "answer_focus", "entities"), "query_id")
