@@ -23,6 +23,7 @@ from functools import partial, reduce
 from itertools import islice
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -47,7 +48,7 @@ SET_WORDS, FAR, SMALL = 4, 72, 64
 FAR_WORD = 28
 #: Members of a key that are compared with others as one block.
 BLOCK = 256
-#: Bits of a map of wanted sets at most (8 MB): beyond some millions of pairs it lets more and more others pass.
+#: Bits of a bitmap at most (8 MB): beyond some millions of hashes it lets more and more others pass.
 MOST_BITS = 26
 
 
@@ -194,23 +195,33 @@ def _common(sets: DataFrame) -> np.ndarray:
     return out
 
 
+class Bitmap:
+    """Where the hashes of a table of longs (column h) lie, in a map of bounded size: it lets all of them pass and few others."""
+
+    def __init__(self, hashes: DataFrame):
+        self.bits = min(MOST_BITS, max(16, (16 * hashes.count()).bit_length()))
+        place = F.shiftrightunsigned("h", 64 - self.bits)
+        mask = F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(h, {64 - self.bits}) & 63 AS INT))")
+        words = hashes.select(F.shiftright(place, 6).alias("w"), mask.alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
+        self.words = np.zeros(1 << self.bits - 6, dtype=np.int64)
+        self.words[words["w"].to_numpy()] = words["m"].to_numpy()
+
+    def passes(self, hashes: np.ndarray) -> np.ndarray:
+        at = (hashes.view(np.uint64) >> np.uint64(64 - self.bits)).astype(np.int64)
+        return (self.words[at >> 6] >> (at & 63) & 1).astype(bool)
+
+
 def _only(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(d, n, h) of the rows of ``sets`` that some pair needs, and of few others: a bitmap of bounded size tells them where they lie, so that the rest isn't shuffled. h has 32 bits of each hash."""
-    wanted = pairs.select(F.col("u").alias("d")).unionByName(pairs.select(F.col("v").alias("d"))).distinct()
-    bits = min(MOST_BITS, max(16, (16 * pairs.count()).bit_length()))
-    place = F.shiftrightunsigned(F.xxhash64("d"), 64 - bits)
-    words = wanted.select(F.shiftright(place, 6).alias("w"), F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(xxhash64(d), {64 - bits}) & 63 AS INT))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
-    bitmap = np.zeros(1 << bits - 6, dtype=np.int64)
-    bitmap[words["w"].to_numpy()] = words["m"].to_numpy()
+    """(d, n, h) of the rows of ``sets`` that some pair needs, and of few others, so that the rest isn't shuffled. h has 32 bits of each hash."""
+    wanted = Bitmap(pairs.select(F.xxhash64("u").alias("h")).unionByName(pairs.select(F.xxhash64("v").alias("h"))))
 
     def run(batches):
         for b in batches:
-            at = b.column(3).to_numpy()
-            left = pa.RecordBatch.from_arrays(b.columns[:3], names=["d", "n", "hashes"]).filter(pa.array((bitmap[at >> 6] >> (at & 63) & 1).astype(bool)))
+            left = pa.RecordBatch.from_arrays(b.columns[:3], names=["d", "n", "hashes"]).filter(pa.array(wanted.passes(b.column(3).to_numpy())))
             ends, values = np.append(0, np.cumsum(left.column(1).to_numpy())).astype(np.int32), _values(left.column(2))
             yield pa.RecordBatch.from_arrays([left.column(0), left.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(values.astype(np.uint32).view(np.int32)))], names=["d", "n", "h"])
 
-    return sets.select("d", "n", "hashes", place.alias("place")).mapInArrow(run, "d long, n long, h array<int>")
+    return sets.select("d", "n", "hashes", F.xxhash64("d").alias("place")).mapInArrow(run, "d long, n long, h array<int>")
 
 
 def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
@@ -347,7 +358,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with one row of each group: the one with the smallest id (and then text hash). Rows alike in id and text are one row.
 
     Rows with a null id all stay. Null and empty texts are one group; very long texts are compared whole; an empty table gives an empty result; other
-    columns, whatever their names, are passed on. Only the keys of rows that go are joined with the documents.
+    columns, whatever their names, are passed on. Only documents that may go, by a bitmap of bounded size, are shuffled to meet the keys of those that do.
     """
     keyed = boxed(docs, id=F.col(id_col), hash=F.xxhash64(F.col(text_col).cast("string")))
     found, _ = materialize(groups(keyed.select("id", "hash", F.col(f"row.{text_col}").alias("text")), ["id", "hash"], "text", **options), "groups")
@@ -359,6 +370,13 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     others = keys.where(F.col("id").cast("long") != F.col("component_id")).select("id", "hash")
     gone, _ = materialize(others.unionByName(head.where("NOT stays OR count > 1").select("id", "hash")).distinct(), "gone")
     repeated, _ = materialize(head.where("stays AND count > 1").select("id", "hash"), "repeated")
-    single = keyed.join(gone, ["id", "hash"], "left_anti")
-    merged = keyed.join(repeated, ["id", "hash"], "left_semi").dropDuplicates(["id", "hash"])
-    return single.unionByName(merged).select("row.*")
+    changed = Bitmap(gone.select(F.xxhash64("id", "hash").alias("h")))
+
+    @F.pandas_udf("boolean")
+    def may_go(h: pd.Series) -> pd.Series:
+        return pd.Series(changed.passes(h.to_numpy()))
+
+    marked = keyed.withColumn("may_go", may_go(F.xxhash64("id", "hash")))
+    single = marked.where("may_go").drop("may_go").join(gone, ["id", "hash"], "left_anti")
+    merged = marked.where("may_go").drop("may_go").join(repeated, ["id", "hash"], "left_semi").dropDuplicates(["id", "hash"])
+    return marked.where("NOT may_go").select("row.*").unionByName(single.select("row.*")).unionByName(merged.select("row.*"))
