@@ -16,6 +16,8 @@ from quillspark.session import prepared
 SPACES = r" \t-\r"
 
 _own: dict[str, str] = {}
+#: Tables of ``materialize`` that this process has written and not deleted.
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,6 +42,7 @@ def materialize(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     spark = prepared(df.sparkSession)
     path = f"{shared_dir(spark)}/quillspark/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -48,6 +51,20 @@ def drop(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    if path in _written:
+        _written.remove(path)
+
+
+def written() -> list[str]:
+    """The tables of ``materialize`` that are there now."""
+    return list(_written)
+
+
+def sweep(spark: SparkSession, keep: list[str]) -> None:
+    """Delete the tables of ``materialize`` but those in ``keep``: for a caller who has written what it needs of their results."""
+    for path in written():
+        if path not in keep:
+            drop(spark, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
