@@ -23,7 +23,6 @@ from functools import partial, reduce
 from itertools import islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -48,6 +47,8 @@ SET_WORDS, FAR, SMALL = 4, 72, 64
 FAR_WORD = 28
 #: Members of a key that are compared with others as one block.
 BLOCK = 256
+#: Rows that a worker treats together.
+SLICE = 512
 #: Bits of a bitmap at most (8 MB): beyond some millions of hashes it lets more and more others pass.
 MOST_BITS = 26
 
@@ -144,6 +145,13 @@ def set_fingerprint(hashes: np.ndarray) -> list[int]:
     return np.packbits(np.array(counts) * 2 > len(hashes), axis=1, bitorder="little").view("<i8").ravel().tolist()
 
 
+def _sliced(batches):
+    """Batches of no more than SLICE rows, so that a worker holds few sets at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, SLICE):
+            yield b.slice(at, SLICE)
+
+
 _PRINT = [f"p{w}" for w in range(SET_WORDS)]
 
 
@@ -153,7 +161,7 @@ def shingle_sets(docs: DataFrame, keys: list[str], text_col: str = "text", shing
     schema, n = T.StructType([*(docs.schema[k] for k in keys), *added]), len(keys)
 
     def run(batches):
-        for b in batches:
+        for b in _sliced(batches):
             sets = [shingle_set(t.as_py(), shingle, seed) for t in b.column(n)]
             digest = np.array([_mixed(x, 1).sum(dtype=np.uint64) for x in sets], dtype=np.uint64).view(np.int64)
             size = np.array([len(x) for x in sets], dtype=np.int64)
@@ -216,7 +224,7 @@ def _only(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     wanted = Bitmap(pairs.select(F.xxhash64("u").alias("h")).unionByName(pairs.select(F.xxhash64("v").alias("h"))))
 
     def run(batches):
-        for b in batches:
+        for b in _sliced(batches):
             left = pa.RecordBatch.from_arrays(b.columns[:3], names=["d", "n", "hashes"]).filter(pa.array(wanted.passes(b.column(3).to_numpy())))
             ends, values = np.append(0, np.cumsum(left.column(1).to_numpy())).astype(np.int32), _values(left.column(2))
             yield pa.RecordBatch.from_arrays([left.column(0), left.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(values.astype(np.uint32).view(np.int32)))], names=["d", "n", "h"])
@@ -233,7 +241,7 @@ def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
 
     def run(batches):
         told = set()
-        for b in batches:
+        for b in _sliced(batches):
             values, size, names = _values(b.column(2)), b.column(1).to_numpy(), b.column(0).to_numpy()
             ends, keys, taken = np.cumsum(size), [np.empty(0, dtype=np.int64)], []
             for end, n, d in zip(ends, size, names.tolist()):
@@ -372,9 +380,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     repeated, _ = materialize(head.where("stays AND count > 1").select("id", "hash"), "repeated")
     changed = Bitmap(gone.select(F.xxhash64("id", "hash").alias("h")))
 
-    @F.pandas_udf("boolean")
-    def may_go(h: pd.Series) -> pd.Series:
-        return pd.Series(changed.passes(h.to_numpy()))
+    @F.arrow_udf("boolean")
+    def may_go(h: pa.Array) -> pa.Array:
+        return pa.array(changed.passes(h.to_numpy()))
 
     marked = keyed.withColumn("may_go", may_go(F.xxhash64("id", "hash")))
     single = marked.where("may_go").drop("may_go").join(gone, ["id", "hash"], "left_anti")
