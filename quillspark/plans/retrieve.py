@@ -94,7 +94,9 @@ def assessed(queries: DataFrame, fragments: DataFrame, k: int = 5, vectors: Data
     pool = recall.balanced(merged, max(k, settings.pool))
     extra = [x if x in fragments.columns else F.lit(None).cast(t).alias(x) for x, t in (("title", "string"), ("section", "string"), ("page", "int"))]
     own = pool.join(fragments.select("fragment_id", "source", "text", *extra), "fragment_id")
-    own = written(own.join(asked.select("query_id", "normalized", "key_terms", "query_type", "answer_focus", "entities"), "query_id"), "pool")
+    own = own.join(asked.select("query_id", "normalized", "key_terms", "query_type", "answer_focus", "entities"), "query_id")
+    # few rows but much work for each, since long texts have most words in common with a query: every core gets some
+    own = written(own.repartition(max(8, queries.sparkSession.sparkContext.defaultParallelism)), "pool")
     return scored(matched(own), settings, scoped=sources is not None, include=include)
 
 
