@@ -203,33 +203,33 @@ def _common(sets: DataFrame) -> np.ndarray:
     return out
 
 
-class Bitmap:
-    """Where the hashes of a table of longs (column h) lie, in a map of bounded size: it lets all of them pass and few others."""
+def marked(rows: DataFrame, h: str, hashes: DataFrame) -> DataFrame:
+    """``rows`` with a boolean ``found``: true where the long in column ``h`` is one of ``hashes.h``, and for few others.
 
-    def __init__(self, hashes: DataFrame):
-        self.bits = min(MOST_BITS, max(16, (16 * hashes.count()).bit_length()))
-        place = F.shiftrightunsigned("h", 64 - self.bits)
-        mask = F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(h, {64 - self.bits}) & 63 AS INT))")
-        words = hashes.select(F.shiftright(place, 6).alias("w"), mask.alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
-        self.words = np.zeros(1 << self.bits - 6, dtype=np.int64)
-        self.words[words["w"].to_numpy()] = words["m"].to_numpy()
-
-    def passes(self, hashes: np.ndarray) -> np.ndarray:
-        at = (hashes.view(np.uint64) >> np.uint64(64 - self.bits)).astype(np.int64)
-        return (self.words[at >> 6] >> (at & 63) & 1).astype(bool)
+    The hashes are set as bits of a map of at most 2**MOST_BITS bits, of which the words that are not zero are broadcast: no more than 2**(MOST_BITS - 6) rows,
+    16 MB, whatever the data. So the rows that can't match need no shuffle.
+    """
+    bits = min(MOST_BITS, max(16, (16 * hashes.count()).bit_length()))
+    place = lambda c: F.shiftrightunsigned(c, 64 - bits)
+    bit = lambda c: F.expr(f"CAST(shiftrightunsigned({c}, {64 - bits}) & 63 AS INT)")
+    words = hashes.select(F.shiftright(place("h"), 6).alias("map_word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit("h")).alias("m")).groupBy("map_word").agg(F.bit_or("m").alias("map_bits"))
+    words, _ = materialize(words, "words")
+    met = rows.join(F.broadcast(words), F.shiftright(place(h), 6) == F.col("map_word"), "left")
+    found = F.coalesce(F.call_function("shiftright", F.col("map_bits"), bit(h)).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    return met.withColumn("found", found).drop("map_word", "map_bits")
 
 
 def _only(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """(d, n, h) of the rows of ``sets`` that some pair needs, and of few others, so that the rest isn't shuffled. h has 32 bits of each hash."""
-    wanted = Bitmap(pairs.select(F.xxhash64("u").alias("h")).unionByName(pairs.select(F.xxhash64("v").alias("h"))))
 
     def run(batches):
         for b in _sliced(batches):
-            left = pa.RecordBatch.from_arrays(b.columns[:3], names=["d", "n", "hashes"]).filter(pa.array(wanted.passes(b.column(3).to_numpy())))
-            ends, values = np.append(0, np.cumsum(left.column(1).to_numpy())).astype(np.int32), _values(left.column(2))
-            yield pa.RecordBatch.from_arrays([left.column(0), left.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(values.astype(np.uint32).view(np.int32)))], names=["d", "n", "h"])
+            ends, values = np.append(0, np.cumsum(b.column(1).to_numpy())).astype(np.int32), _values(b.column(2))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(values.astype(np.uint32).view(np.int32)))], names=["d", "n", "h"])
 
-    return sets.select("d", "n", "hashes", F.xxhash64("d").alias("place")).mapInArrow(run, "d long, n long, h array<int>")
+    own = sets.select("d", "n", "hashes", F.xxhash64("d").alias("place"))
+    wanted = pairs.select(F.xxhash64("u").alias("h")).unionByName(pairs.select(F.xxhash64("v").alias("h")))
+    return marked(own, "place", wanted).where("found").select("d", "n", "hashes").mapInArrow(run, "d long, n long, h array<int>")
 
 
 def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
@@ -378,13 +378,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     others = keys.where(F.col("id").cast("long") != F.col("component_id")).select("id", "hash")
     gone, _ = materialize(others.unionByName(head.where("NOT stays OR count > 1").select("id", "hash")).distinct(), "gone")
     repeated, _ = materialize(head.where("stays AND count > 1").select("id", "hash"), "repeated")
-    changed = Bitmap(gone.select(F.xxhash64("id", "hash").alias("h")))
-
-    @F.arrow_udf("boolean")
-    def may_go(h: pa.Array) -> pa.Array:
-        return pa.array(changed.passes(h.to_numpy()))
-
-    marked = keyed.withColumn("may_go", may_go(F.xxhash64("id", "hash")))
-    single = marked.where("may_go").drop("may_go").join(gone, ["id", "hash"], "left_anti")
-    merged = marked.where("may_go").drop("may_go").join(repeated, ["id", "hash"], "left_semi").dropDuplicates(["id", "hash"])
-    return marked.where("NOT may_go").select("row.*").unionByName(single.select("row.*")).unionByName(merged.select("row.*"))
+    told = marked(keyed.withColumn("place", F.xxhash64("id", "hash")), "place", gone.select(F.xxhash64("id", "hash").alias("h")))
+    single = told.where("found").join(gone, ["id", "hash"], "left_anti")
+    merged = told.where("found").join(repeated, ["id", "hash"], "left_semi").dropDuplicates(["id", "hash"])
+    return told.where("NOT found").select("row.*").unionByName(single.select("row.*")).unionByName(merged.select("row.*"))
