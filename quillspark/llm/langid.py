@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import boxed, materialize, text_or_empty
+from quillspark.llm.common import boxed, materialize, text_or_empty, tidy
 
 #: Labelled rows that a language's model is trained on, at most, and characters of each.
 TRAIN_ROWS, TRAIN_CHARS = 400, 4000
@@ -131,7 +131,7 @@ def identify(docs: DataFrame, keys: list[str], text: str = "text", declared: str
             found = pa.array([likelihoods(t.as_py(), table) for t in b.column(len(own))], type=pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(own)], *b.columns[len(own) + 1 :], found], names=schema.names)
 
-    told, _ = materialize(base.mapInArrow(run, schema), "langid")
+    told, _ = materialize(base.mapInArrow(tidy(run), schema), "langid")
     first = F.array_position(F.slice("ll", 1, many), F.array_max(F.slice("ll", 1, many))).cast("int")
     sure = told.withColumn("best", first).where(F.array_max(F.slice("ll", 1, many)) > F.get("ll", F.lit(many)))
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.llm import bpe
-from quillspark.llm.common import drop, materialize
+from quillspark.llm.common import drop, materialize, tidy
 
 #: Pieces an island holds, about.
 ISLAND = 16_384
@@ -259,7 +259,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, id
                 columns = np.array(out, dtype=np.int64).reshape(-1, 5)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, type=pa.int64())), pa.array(columns[:, 0].astype(np.int32)), *(pa.array(columns[:, i]) for i in range(1, 5))], names=[f.name for f in schema])
 
-    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(tidy(run), schema)
 
 
 def pack(items: DataFrame, capacity: int = 1024, length_col: str = "length", uid_col: str = "uid") -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import boxed, drop, materialize
+from quillspark.llm.common import boxed, drop, materialize, tidy
 from quillspark.llm.components import connected_components
 
 _CHUNK = 1 << 16
@@ -106,7 +106,7 @@ def fingerprints(docs: DataFrame, keys: list[str], text_col: str = "text", shing
             found = np.array([fingerprint(t.as_py(), shingle, seed, words) for t in b.column(n)], dtype=np.int64).reshape(-1, len(made))
             yield pa.RecordBatch.from_arrays([*b.columns[:n], *(pa.array(found[:, w]) for w in range(len(made)))], names=[f.name for f in schema])
 
-    return docs.select(*keys, F.col(text_col).cast("string").alias("_t")).mapInArrow(run, schema)
+    return docs.select(*keys, F.col(text_col).cast("string").alias("_t")).mapInArrow(tidy(run), schema)
 
 
 def _signed(x: int) -> int:
@@ -169,7 +169,7 @@ def shingle_sets(docs: DataFrame, keys: list[str], text_col: str = "text", shing
             packed = [(x >> np.uint64(64 - HASH_BITS)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : HASH_BITS // 8].tobytes() for x in sets]
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(digest), pa.array(size), pa.array(packed, type=pa.binary()), *(pa.array(prints[:, w]) for w in range(SET_WORDS))], names=[f.name for f in schema])
 
-    return docs.select(*keys, F.col(text_col).cast("string").alias("_t")).mapInArrow(run, schema)
+    return docs.select(*keys, F.col(text_col).cast("string").alias("_t")).mapInArrow(tidy(run), schema)
 
 
 def _bucket(hashes: np.ndarray) -> np.ndarray:
@@ -197,7 +197,7 @@ def _common(sets: DataFrame) -> np.ndarray:
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["at", "c"])
 
-    found = sets.select("hashes").mapInArrow(run, "at long, c long").groupBy("at").agg(F.sum("c").alias("c")).toArrow()
+    found = sets.select("hashes").mapInArrow(tidy(run), "at long, c long").groupBy("at").agg(F.sum("c").alias("c")).toArrow()
     out = np.zeros(1 << ORDER_BITS, dtype=np.int64)
     out[found["at"].to_numpy()] = found["c"].to_numpy()
     return out
@@ -229,7 +229,7 @@ def _only(sets: DataFrame, pairs: DataFrame) -> DataFrame:
 
     own = sets.select("d", "n", "hashes", F.xxhash64("d").alias("place"))
     wanted = pairs.select(F.xxhash64("u").alias("h")).unionByName(pairs.select(F.xxhash64("v").alias("h")))
-    return marked(own, "place", wanted).where("found").select("d", "n", "hashes").mapInArrow(run, "d long, n long, h array<int>")
+    return marked(own, "place", wanted).where("found").select("d", "n", "hashes").mapInArrow(tidy(run), "d long, n long, h array<int>")
 
 
 def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
@@ -257,7 +257,7 @@ def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
             whole = np.repeat(size, counts)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, counts)), pa.array(whole << 32 | whole - place), pa.array(np.concatenate(keys))], names=["u", "w", "key"])
 
-    return sets.select("d", "n", "hashes").where("n > 0").mapInArrow(run, "u long, w long, key long")
+    return sets.select("d", "n", "hashes").where("n > 0").mapInArrow(tidy(run), "u long, w long, key long")
 
 
 def _possible(a, b, similarity: float):
