@@ -8,12 +8,13 @@ one bit of one segment. A table holds each fingerprint under both segments; each
 fetches the table's matches, and their complete distances are verified. A segment's value that more than CROWD fingerprints have is not
 fetched: its members and those that ask for it meet by the balls of radius one round their whole words, of which a group never holds more than 65.
 
-Linking by sets (``link_sets``), for similarities well below one, where segments of fingerprints find only some of the pairs (at a Jaccard similarity
-of 0.8 a fingerprint differs in every seventh bit; 97 % of the pairs would cost some 300 keys a text), is exact over the sets of shingles
-themselves. All shingles are put in one order, by how common they are; texts of a similarity t share one of the first n - ceil(t n) + 1 of
-their n shingles, some 100 keys for an average text, so texts that share none, or the first one too late in the order, are never compared. Fingerprints of 256 bits pass a pair on by their
-complete distance, and its similarity is computed from both sets. Each text is first compared with the hubs of its
-keys; members of a key that are not connected by this are compared with one another, in blocks.
+Linking by sets (``link_sets``) is for similarities well below one. It searches in the same way (``matches``): a table holds the fingerprint of each set under
+its segments, each set enumerates the ball of radius one in each segment and fetches the table's matches, and complete distances over 256 bits are verified.
+At a Jaccard similarity of 0.8 a fingerprint differs in every seventh bit, so segments find only some of the pairs (97 % of them would cost some 300 keys a
+text). The rest is found exactly, over the sets of shingles themselves: all shingles are put in one order, by how common they are; texts of a similarity t
+share one of the first n - ceil(t n) + 1 of their n shingles, some 100 keys for an average text, so texts that share none, or the first one too late in the
+order, are never compared. Each text is compared with the nearest of its matches and with the hubs of its keys; members of a key that are not connected
+by this are compared with one another, in blocks. However a pair was found, complete distances pass it on, and its similarity is computed from both sets.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ _MASK = (1 << 64) - 1
 ORDER_BITS = 18
 #: Bits that are kept of the hashes of a set: two hashes of a set of 20000 are alike with a chance of one in ten thousand.
 HASH_BITS = 40
+#: Bits of a segment.
+SEGMENT = 32
 #: Fingerprints of one segment value from which on it is split by whole words.
 CROWD = 64
 #: Words of the fingerprints of sets, and the distance up to which a pair is passed on. At a similarity of 0.8 the distance is 39 on average with a
@@ -45,6 +48,8 @@ CROWD = 64
 SET_WORDS, FAR, SMALL = 4, 72, 64
 #: The same for the first word alone, which pairs are tried by as they are made: 10 on average with a deviation of 3.
 FAR_WORD = 28
+#: Words of these fingerprints whose segments are looked up, and sets that the table holds of one segment value at most: others are found by their shingles.
+SEGMENT_WORDS, HELD = 2, 16
 #: Members of a key that are compared with others as one block.
 BLOCK = 256
 #: Rows that a worker treats together.
@@ -113,21 +118,39 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _numbered(x):
+    """A segment's value and number as one long."""
+    return F.shiftleft(F.col("s").cast("long"), 40).bitwiseOR(x)
+
+
+def _segments(prints: DataFrame, words: list[str]) -> DataFrame:
+    """(u, s, x): the number and value of each 32-bit segment of the given words of each row."""
+    low = F.lit((1 << SEGMENT) - 1)
+    halves = [h for w in words for h in (F.col(w).bitwiseAND(low), F.shiftrightunsigned(w, SEGMENT))]
+    segments = F.array(*(F.struct(F.lit(s).alias("s"), x.alias("x")) for s, x in enumerate(halves)))
+    return prints.select("u", F.explode(segments).alias("g")).select("u", F.col("g.s").alias("s"), F.col("g.x").alias("x"))
+
+
+def _table(split: DataFrame) -> DataFrame:
+    """(key, v): each row under its segments."""
+    return split.select(_numbered(F.col("x")).alias("key"), F.col("u").alias("v"))
+
+
+def _asked(split: DataFrame) -> DataFrame:
+    """(u, key): the balls of radius one round the segments, of which only values with one bit more are asked for: who has one less asks itself."""
+    bits = F.array(*(F.lit(1 << b) for b in range(SEGMENT)))
+    missing = F.filter(bits, lambda b: F.col("x").bitwiseAND(b) == 0)
+    ball = F.concat(F.array(F.col("x")), F.transform(missing, lambda b: F.col("x").bitwiseOR(b)))
+    return split.select("u", "s", F.explode(ball).alias("y")).select("u", _numbered(F.col("y")).alias("key"))
+
+
 def link_exact(classes: DataFrame, column: str = "f0") -> DataFrame:
     """Edges (u, v) that connect exactly the different fingerprints at two or fewer bits. ``classes`` has each fingerprint once.
 
     Of two fingerprints that differ in one bit of a segment only the one that lacks the bit asks for it.
     """
-    half, low = 32, F.lit((1 << 32) - 1)
-    prints = classes.select(F.col(column).alias("u"))
-    segments = F.array(F.struct(F.lit(0).alias("s"), F.col("u").bitwiseAND(low).alias("x")), F.struct(F.lit(1).alias("s"), F.shiftrightunsigned("u", half).alias("x")))
-    split = prints.select("u", F.explode(segments).alias("g")).select("u", F.col("g.s").alias("s"), F.col("g.x").alias("x"))
-    numbered = lambda x: F.shiftleft(F.col("s").cast("long"), 40).bitwiseOR(x)
-    table = split.select(numbered(F.col("x")).alias("key"), F.col("u").alias("v"))
-    bits = F.array(*(F.lit(1 << b) for b in range(half)))
-    missing = F.filter(bits, lambda b: F.col("x").bitwiseAND(b) == 0)
-    ball = F.concat(F.array(F.col("x")), F.transform(missing, lambda b: F.col("x").bitwiseOR(b)))
-    asked = split.select("u", "s", F.explode(ball).alias("y")).select("u", numbered(F.col("y")).alias("key"))
+    split = _segments(classes.select(F.col(column).alias("u")), ["u"])
+    table, asked = _table(split), _asked(split)
     crowded, _ = materialize(table.groupBy("key").count().where(F.col("count") > CROWD).select("key"), "crowded")
     near = (F.col("u") != F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= 2)
     edges = asked.join(table.join(crowded, "key", "left_anti"), "key").where(near).select("u", "v")
@@ -266,31 +289,60 @@ def _possible(a, b, similarity: float):
     return F.least(left(a), left(b)) >= similarity / (1 + similarity) * (F.shiftright(a, 32) + F.shiftright(b, 32)) - 1e-6
 
 
+def _by_distance(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v, distance): the pairs (u, v), each once, whose fingerprints are near enough by their complete distance."""
+    prints = sets.select("d", "n", *_PRINT).dropDuplicates(["d"])
+    distance = sum((F.bit_count(F.col(f"u_{p}").bitwiseXOR(F.col(f"v_{p}"))) for p in _PRINT), F.lit(0))
+    met = pairs.select("u", "v").distinct().join(_side(prints, "u"), "u").join(_side(prints, "v"), "v")
+    return met.withColumn("distance", distance).where((F.col("distance") <= FAR) | (F.least("u_n", "v_n") < SMALL)).select("u", "v", "distance")
+
+
+def _side(t: DataFrame, name: str) -> DataFrame:
+    return t.select(*(F.col(x).alias(name if x == "d" else f"{name}_{x}") for x in t.columns))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (u, v) whose sets have a Jaccard similarity of ``similarity`` or more.
 
     First the fingerprints of both are compared; then only the sets of pairs that are left are shuffled, 32 bits of each hash.
     """
     spark = sets.sparkSession
-    prints = sets.select("d", "n", *_PRINT).dropDuplicates(["d"])
-    side = lambda t, name: t.select(*(F.col(x).alias(name if x == "d" else f"{name}_{x}") for x in t.columns))
-    distance = sum((F.bit_count(F.col(f"u_{p}").bitwiseXOR(F.col(f"v_{p}"))) for p in _PRINT), F.lit(0))
-    pairs = pairs.select("u", "v").distinct().join(side(prints, "u"), "u").join(side(prints, "v"), "v").where((distance <= FAR) | (F.least("u_n", "v_n") < SMALL))
-    pairs, path = materialize(pairs.select("u", "v"), "pairs")
+    pairs, path = materialize(_by_distance(pairs, sets).select("u", "v"), "pairs")
     whole = _only(sets, pairs).groupBy("d").agg(F.first("n").alias("n"), F.first("h").alias("h"))
     both = F.size(F.array_intersect("u_h", "v_h"))
     near = both >= similarity * (F.col("u_n") + F.col("v_n") - both) - 1e-9
-    found, _ = materialize(pairs.join(side(whole, "u"), "u").join(side(whole, "v"), "v").where(near).select("u", "v"), "near")
+    found, _ = materialize(pairs.join(_side(whole, "u"), "u").join(_side(whole, "v"), "v").where(near).select("u", "v"), "near")
     drop(spark, path)
     return found
 
 
+def matches(sets: DataFrame) -> DataFrame:
+    """(u, v, distance): pairs of sets, u below v, by multi-index hashing of their fingerprints.
+
+    A table holds the sets under the segments of their first SEGMENT_WORDS words, no more than HELD under one value; each set enumerates the ball of
+    radius one in each of its segments, fetches what the table holds there, and complete distances decide. Sets without shingles are left out.
+    """
+    split = _segments(sets.where("n > 0").select(F.col("d").alias("u"), *_PRINT[:SEGMENT_WORDS]).dropDuplicates(["u"]), _PRINT[:SEGMENT_WORDS])
+    place = F.row_number().over(Window.partitionBy("key").orderBy("v"))
+    table = _table(split).withColumn("place", place).where(F.col("place") <= HELD).drop("place")
+    pairs = _asked(split).join(table, "key").where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    return _by_distance(pairs, sets)
+
+
+def _nearest_matches(sets: DataFrame) -> DataFrame:
+    """(u, v): each set that has matches, with the nearest of them, so that a large group doesn't cost all its pairs."""
+    found = matches(sets)
+    both = found.select("distance", F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("x"))
+    nearest = both.groupBy("x.u").agg(F.min(F.struct("distance", "x.v")).alias("m"))
+    return nearest.select("u", F.col("m.v").alias("v"))
+
+
 def link_sets(sets: DataFrame, similarity: float) -> DataFrame:
     """(node, component) of the sets, by d, that pairs of ``similarity`` or more connect with others.
 
-    Each set is first compared with the hubs of its keys: the member of a key that shares its keys with most others, which in a group of copies is the
-    text that all are near. Two members of a key that are in one component by then need not be compared; all others are, so
-    only a key that very many sets share of which no two are near costs all its pairs.
+    Each set is first compared with the nearest of its ``matches`` in the segment tables, and with the hubs of its keys: the member of a key that shares its
+    keys with most others, which in a group of copies is the text that all are near. Two members of a key that are in one component by then need not be compared;
+    all others are, so only a key that very many sets share of which no two are near costs all its pairs.
     """
     spark, by_key = sets.sparkSession, Window.partitionBy("key")
     met = _prefixes(sets, similarity).select("key", "u", "w", F.lag("u").over(by_key.orderBy("u")).alias("before"), F.min("u").over(by_key).alias("least"), F.max("u").over(by_key).alias("most"), F.count("*").over(by_key).alias("m"))
@@ -305,7 +357,9 @@ def link_sets(sets: DataFrame, similarity: float) -> DataFrame:
         return (x["u"] != y["u"]) & _possible(x["w"], y["w"], similarity) & (near | small)
 
     hub = F.max(F.struct(F.col("x.weight"), F.col("x"))).over(by_key)["x"]
-    near = _verified(each(met, "weight").withColumn("hub", hub).where(possible(F.col("x"), F.col("hub"))).select(F.col("x.u").alias("u"), F.col("hub.u").alias("v")), sets, similarity)
+    hubs = each(met, "weight").withColumn("hub", hub).where(possible(F.col("x"), F.col("hub"))).select(F.col("x.u").alias("u"), F.col("hub.u").alias("v"))
+    first = _nearest_matches(sets).unionByName(hubs).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    near = _verified(first, sets, similarity)
     linked, _ = materialize(connected_components(near), "linked")
     rest = each(met.join(linked, met["u"] == linked["node"], "left").withColumn("c", F.coalesce("component", "u")), "c")
     rest = rest.withColumns({"least": F.min("x.c").over(by_key), "most": F.max("x.c").over(by_key), "m": F.count("*").over(by_key)}).where("least <> most")

@@ -137,3 +137,48 @@ def test_a_crowded_key_loses_no_pair(spark):
     random.Random(3).shuffle(texts)
     texts = dict(enumerate(texts))
     assert found(spark, texts) == jaccard_closure(texts)
+
+
+def copies(rng, families=40):
+    """Families of a text of 300 words and copies of it, by how many words at its end differ."""
+    texts = {}
+    for g in range(families):
+        words = [f"g{g}w{i}" for i in range(300)]
+        for n in (0, 0, 1, 4, 12, 40):
+            texts[len(texts)] = " ".join(words[: 300 - n] + [f"x{len(texts)}y{i}" for i in range(n)])
+    return texts
+
+
+def test_matches_are_those_of_the_segment_tables(spark):
+    texts = copies(random.Random(6)) | {9000: "", 9001: " \n", 9002: "one word", 9003: "one word"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    sets = simhash.shingle_sets(docs, ["doc_id"])
+    prints = {r.d: [r[p] & (1 << 64) - 1 for p in ("p0", "p1", "p2", "p3")] for r in sets.where("n > 0").collect()}
+    halves = {d: [x for w in p[: simhash.SEGMENT_WORDS] for x in (w & (1 << 32) - 1, w >> 32)] for d, p in prints.items()}
+    want = {}
+    for a in prints:
+        for b in prints:
+            distance = sum((x ^ y).bit_count() for x, y in zip(prints[a], prints[b]))
+            if a < b and distance <= simhash.FAR and any((x ^ y).bit_count() <= 1 for x, y in zip(halves[a], halves[b])):
+                want[a, b] = distance
+    got = [((r.u, r.v), r.distance) for r in simhash.matches(sets).collect()]
+    assert len(want) > 100 and dict(got) == want and len(got) == len(want)
+
+
+def test_segments_link_near_copies_without_the_shingles_keys(spark, monkeypatch):
+    texts = copies(random.Random(7))
+    want = jaccard_closure(texts)
+    monkeypatch.setattr(simhash, "_prefixes", lambda sets, similarity: sets.select(sets.d.alias("u"), sets.d.alias("w"), sets.d.alias("key")).limit(0))
+    got = found(spark, texts)
+    # each family's first text, its equal and those with one and four other words
+    near = [d for d in texts if d % 6 in (2, 3)]
+    assert sum(got[d] == want[d] for d in near) >= 0.8 * len(near)
+    assert all(want[got[d]] == want[d] for d in texts)
+    monkeypatch.undo()
+    assert found(spark, texts) == want
+
+
+def test_a_crowded_segment_loses_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HELD", 2)
+    texts = {n: " ".join([f"w{i}" for i in range(300 - n)] + [f"x{n}y{i}" for i in range(n)]) for n in range(60)}
+    assert found(spark, texts) == jaccard_closure(texts)
