@@ -115,8 +115,11 @@ def intent_score() -> Column:
 
 
 def adaptive(hits: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    """Hits without the tail: far below the best, or below a gap. At most two hits all stay; anchors (a boolean column) always do."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("final"), "fragment_id")
+    """Hits without the tail: far below the best, or below a gap. At most two hits all stay; anchors (a boolean column) always do.
+
+    Where a fragment_id comes twice with the same score, an anchor goes first, so that what stays never hangs on the order of rows.
+    """
+    order = Window.partitionBy("query_id").orderBy(F.desc("final"), "fragment_id", F.desc("anchor_hit"))
     told = hits.withColumn("_n", F.count("*").over(Window.partitionBy("query_id"))).withColumn("_top", F.first("final").over(order)).withColumn("_before", F.lag("final").over(order))
     tail = (c("final") < s.adaptive_floor * c("_top")) | ((c("_before") - c("final") >= s.adaptive_gap) & (c("final") < 0.75 * c("_top")))
     return told.where((c("_n") <= 2) | c("_before").isNull() | c("anchor_hit") | ~tail).drop("_n", "_top", "_before")
