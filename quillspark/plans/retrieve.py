@@ -2,7 +2,7 @@
 
 Routing keeps a query's best sources; two recalls (words, and vectors if there are any) are fused for each variant of a query and merged; a pool
 of bounded size is matched and scored, noise and the tail are dropped, and unlike hits are chosen. Only the pool meets texts: what is joined
-before are ids, terms and counts. The inverted table, the pool, its features and its scores are written: each step then plans over plain columns.
+before are ids, terms and counts. The pool, its features and its scores are written: each step then plans over plain columns.
 """
 
 from __future__ import annotations
@@ -21,9 +21,16 @@ c = F.col
 VARIANT_WEIGHT = 0.9
 
 
+def stemmed(fragments: DataFrame) -> DataFrame:
+    """(fragment_id, source, ts) with the stems of all tokens of a text; only Cyrillic words have stems of their own."""
+    tokens = fragments.select("fragment_id", "source", tx.tokens(c("text")).alias("ts")).withColumn("line", tx.padded("ts"))
+    stems = F.filter(F.split(tx.stems_of_line(c("line")), " "), lambda t: t != "")
+    return tokens.select("fragment_id", "source", F.when(c("line").rlike("[а-я]"), stems).otherwise(c("ts")).alias("ts"))
+
+
 def terms_of(fragments: DataFrame) -> DataFrame:
     """(fragment_id, source, term, tf) of every fragment: the inverted table, to be written once and read by every batch of queries."""
-    each = fragments.select("fragment_id", "source", F.explode(F.filter(F.split(tx.padded_stems(tx.tokens(c("text"))), " "), lambda t: t != "")).alias("term"))
+    each = stemmed(fragments).select("fragment_id", "source", F.explode("ts").alias("term"))
     return each.groupBy("fragment_id", "source", "term").agg(F.count("*").alias("tf"))
 
 
@@ -38,17 +45,29 @@ def profiles(terms: DataFrame, wanted: DataFrame, subject_of: DataFrame | None =
     return lexical.select("query_id", "source", "lexical", F.lit(0.0).alias("embedding"), F.coalesce("subject", F.lit(0.5)).alias("subject"), F.coalesce("sure", F.lit(False)).alias("sure"))
 
 
-def candidates(asked: DataFrame, fragments: DataFrame, terms: DataFrame, vectors: DataFrame | None = None, settings: Settings = DEFAULT, subject_of: DataFrame | None = None) -> DataFrame:
-    """(query_id, fragment_id, scores, overlap) of both recalls, fused. ``asked`` has query_id and key_terms (and query_vector with ``vectors``)."""
+def candidates(asked: DataFrame, fragments: DataFrame, terms: DataFrame | None, vectors: DataFrame | None = None, settings: Settings = DEFAULT, subject_of: DataFrame | None = None) -> DataFrame:
+    """(query_id, fragment_id, scores, overlap) of both recalls, fused. ``asked`` has query_id and key_terms (and query_vector with ``vectors``).
+
+    Without ``terms`` the texts are read twice, once for routing and once for counting, and no inverted table is made.
+    """
     wanted = asked.select("query_id", F.explode(F.array_distinct(F.transform("key_terms", tx.stem))).alias("term"))
-    routed = recall.route(profiles(terms, wanted, subject_of), settings.routed).where("reason IS NULL").select("query_id", "source", c("score").alias("document_score"), c("subject").alias("subject_score"))
-    hits = terms.join(wanted, "term").join(routed, ["query_id", "source"]).groupBy("query_id", "fragment_id").agg(F.sum("tf").alias("n"), F.count("*").alias("found"), F.max("document_score").alias("document_score"), F.max("subject_score").alias("subject_score"))
+    wanted, texts = written(wanted, "wanted"), stemmed(fragments)
+    vocabulary = recall.known(texts, wanted) if terms is None else terms
+    routed = recall.route(profiles(vocabulary, wanted, subject_of), settings.routed).where("reason IS NULL").select("query_id", "source", c("score").alias("document_score"), c("subject").alias("subject_score"))
+    routed = written(routed, "routed")
+    if terms is None:
+        met = recall.counted(wanted, texts, settings.recall, routed.select("query_id", "source"))
+    else:
+        met = terms.join(wanted, "term").select("query_id", "fragment_id", "source", c("tf").alias("n"), F.lit(1).alias("c"))
+    hits = met.join(routed, ["query_id", "source"]).groupBy("query_id", "fragment_id").agg(F.sum("n").alias("n"), F.sum("c").alias("found"), F.max("document_score").alias("document_score"), F.max("subject_score").alias("subject_score"))
     words = recall.top(hits, settings.recall, F.desc("n"), c("fragment_id")).withColumn("lexical_score", c("n") / (c("n") + 5.0))
     lists = [words.select("query_id", "fragment_id", "rank", "lexical_score", "document_score", "subject_score", "found")]
     if vectors is not None:
         near = recall.dense(asked, vectors, settings.recall, settings.oversample)
         own = near.join(fragments.select("fragment_id", "source"), "fragment_id").join(routed, ["query_id", "source"])
         # how many terms a near fragment has, also where words alone did not recall it
+        own = written(own, "near")
+        terms = terms_of(recall.of_ids(fragments, own)) if terms is None else terms
         met = own.select("query_id", "fragment_id").join(terms, "fragment_id").join(wanted, ["query_id", "term"]).groupBy("query_id", "fragment_id").agg(F.count("*").alias("found"))
         own = own.join(met, ["query_id", "fragment_id"], "left")
         lists.append(own.select("query_id", "fragment_id", "rank", "dense_score", "document_score", "subject_score", F.coalesce("found", F.lit(0)).alias("found")))
@@ -83,7 +102,6 @@ def assessed(queries: DataFrame, fragments: DataFrame, k: int = 5, vectors: Data
     if sources is not None:
         fragments = fragments.where(c("source").isin(*sources))
         terms = terms.where(c("source").isin(*sources)) if terms is not None else None
-    terms = written(terms_of(fragments), "terms") if terms is None else terms
     asked = classify.analyzed(queries)
     if "variants" in queries.columns:
         each = queries.select(*(x for x in queries.columns if x not in ("variants", "query")), F.posexplode(F.array_distinct(F.concat(F.array("query"), F.coalesce("variants", F.array().cast("array<string>"))))).alias("variant", "query"))
@@ -91,9 +109,9 @@ def assessed(queries: DataFrame, fragments: DataFrame, k: int = 5, vectors: Data
         merged = merged_variants(candidates(each, fragments, terms, vectors, settings, subject_of))
     else:
         merged = candidates(asked, fragments, terms, vectors, settings, subject_of)
-    pool = recall.balanced(merged, max(k, settings.pool))
+    pool = written(recall.balanced(merged, max(k, settings.pool)), "chosen")
     extra = [x if x in fragments.columns else F.lit(None).cast(t).alias(x) for x, t in (("title", "string"), ("section", "string"), ("page", "int"))]
-    own = pool.join(fragments.select("fragment_id", "source", "text", *extra), "fragment_id")
+    own = pool.join(recall.of_ids(fragments.select("fragment_id", "source", "text", *extra), pool), "fragment_id")
     own = own.join(asked.select("query_id", "normalized", "key_terms", "query_type", "answer_focus", "entities"), "query_id")
     # few rows but much work for each, since long texts have most words in common with a query: every core gets some
     own = written(own.repartition(max(8, queries.sparkSession.sparkContext.defaultParallelism)), "pool")
