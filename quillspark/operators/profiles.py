@@ -98,8 +98,12 @@ _STEP = r"(?:[IVXLCDM]+|[1-9]\d*)\s*[.)]\s+"
 _NO_TITLES = ("exercise", "test_question", "navigation_index", "toc", "index")
 
 
-def _title_problem() -> Column:
-    """Why a candidate is no title, the first reason that holds; null if it is one. Needs the columns of ``classify.prepared``."""
+#: A title's longest length; what is longer is no title for this reason at the latest.
+_LONGEST = 180
+
+
+def _title_problems() -> tuple[Column, Column]:
+    """Why a candidate is no title, the first reason that holds, null if it is one: by the columns of ``classify.worded``, up to its length, and by those of ``classify.prepared``."""
     flat, n = c("_flat"), F.size(F.split("_flat", " "))
     known = c("_norm").rlike(r"^(?:глава|раздел|параграф|урок|тема)\s+\S|(?<![а-я])(?:план|схема|алгоритм|формула|правило|теорема|закон)(?![а-я])")
     orders = c("_norm").rlike("(?<![а-я])(?:укажите|выберите|найдите|сравните|объясните|докажите)(?![а-я])")
@@ -115,7 +119,7 @@ def _title_problem() -> Column:
         "navigation_reference": classify._navigation_reference(),
         "cross_reference": c("_norm").rlike(r"(?<![а-я])п\.\s"),
         "unclosed_parenthetical": open_marks,
-        "too_long": F.length(flat) > 180,
+        "too_long": F.length(flat) > _LONGEST,
         "definition_like": flat.rlike(r"\s[—-]\s") & (n > 3),
         "too_many_words": (n > 7) & ~known,
         "instruction_like": orders,
@@ -123,7 +127,8 @@ def _title_problem() -> Column:
         "too_short": (n <= 1) & (F.length(flat) <= 3),
         "navigation_index": classify._navigation_index() & ~flat.rlike(r"^.{4,120}?\s[1-9]\d{0,2}$"),
     }
-    return F.coalesce(*(F.when(holds, F.lit(reason)) for reason, holds in reasons.items()))
+    told, split = [F.when(holds, F.lit(reason)) for reason, holds in reasons.items()], list(reasons).index("too_long") + 1
+    return F.coalesce(*told[:split]), F.coalesce(*told[split:])
 
 
 def without_page_number(title: Column) -> Column:
@@ -140,7 +145,8 @@ def section_titles(rows: DataFrame, keys: list[str], text: str = "text", heading
     step and before a colon. Only these short strings are looked at and aggregated; texts stay out of the shuffle. ``keys`` tell rows apart.
     """
     first = F.regexp_replace(F.trim(F.regexp_extract(F.trim(c(text)), r"^[^\n\r]*", 0)), r"^#{1,6}\s*", "")
-    flat = tx.clean(c(text))
+    rows = rows.withColumn("_line", tx.clean(c(text)))
+    flat = c("_line")
     tried = [
         ("first_line", first),
         ("inline_heading", F.regexp_extract(flat, rf"^(.{{6,140}}?)\.\s+(?:{_STEP}|[А-ЯЁA-Z])", 1)),
@@ -150,9 +156,12 @@ def section_titles(rows: DataFrame, keys: list[str], text: str = "text", heading
     own = [F.struct(F.lit(how).alias("how"), F.when((text_ != "") | F.lit(how == "first_line"), F.coalesce(text_, F.lit(""))).alias("t")) for how, text_ in tried]
     stored = F.transform(F.reverse(F.coalesce(c(headings), F.array().cast("array<string>"))), lambda h: F.struct(F.lit("meta").alias("how"), h.alias("t"))) if headings else F.array().cast("array<struct<how:string,t:string>>")
     each = rows.select(*keys, F.posexplode(F.concat(stored, F.array(*own))).alias("at", "x")).select(*keys, "at", "x.how", F.col("x.t").alias("candidate")).where("candidate IS NOT NULL")
-    told = classify.prepared(each, "candidate")
-    told = told.withColumn("problem", F.coalesce(_title_problem(), F.when(classify.chunk_type()["chunk_type"].isin(*_NO_TITLES), F.lit("not_a_heading"))))
-    title = F.when(c("problem").isNull(), F.substring(without_page_number(c("_flat")), 1, 180))
+    early, late = _title_problems()
+    # long candidates are told from their words; only short ones are looked at more closely
+    told = classify.worded(each, "candidate").select(*keys, "at", "how", early.alias("early"), c("_raw").alias("candidate"))
+    told = classify.prepared(told.withColumn("candidate", F.when(c("early").isNull(), c("candidate"))), "candidate")
+    told = told.withColumn("problem", F.coalesce("early", late, F.when(classify.chunk_type()["chunk_type"].isin(*_NO_TITLES), F.lit("not_a_heading"))))
+    title = F.when(c("problem").isNull(), F.substring(without_page_number(c("_flat")), 1, _LONGEST))
     found = told.select(*keys, "at", "how", "problem", title.alias("title"))
     good = F.min(F.when(c("problem").isNull(), F.struct("at", "how", "title")))
     by = found.groupBy(*keys).agg(good.alias("good"), F.max(F.struct("at", "problem")).alias("last"))

@@ -51,3 +51,35 @@ def test_evidence_metrics(spark):
     rows = [(1, 1, False, False), (1, 2, True, True), (2, 1, False, True), (3, 7, True, True)]
     got = {r.query_id: (r.recall, round(r.ndcg, 4), r.mrr, r.top1_source) for r in evaluate.evidence_metrics(spark.createDataFrame(rows, "query_id int, rank int, evidence boolean, right_source boolean"), 5).collect()}
     assert got == {1: (1.0, 0.6309, 0.5, False), 2: (0.0, 0.0, 0.0, True), 3: (0.0, 0.0, 0.0, False)}
+
+
+def test_long_candidates_are_not_looked_at_closely(spark, monkeypatch):
+    from quillspark.operators import classify, profiles
+
+    given = []
+
+    def kept(df, text, *more, prepared=classify.prepared):
+        given.append(df.where(f"length({text}) > 180"))
+        return prepared(df, text, *more)
+
+    monkeypatch.setattr(classify, "prepared", kept)
+    long = "word " * 400
+    rows = spark.createDataFrame([(1, long + "end. Next one: more " + long), (2, "A short title\n" + long), (3, "( " + long), (4, None)], "k int, text string")
+    got = {r.k: (r.section_title, r.section_title_reason) for r in profiles.section_titles(rows, ["k"]).collect()}
+    assert got[2] == ("A short title", "first_line") and got[1] == (None, "too_long") and got[3] == (None, "unclosed_parenthetical") and got[4] == (None, "empty")
+    assert given and all(df.count() == 0 for df in given)
+
+
+def test_white_space_and_hyphens_as_by_the_plain_expressions(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from quillspark.functions import text as tx
+
+    rng = random.Random(6)
+    rows = [("".join(rng.choice("aя-- \t\n  \u0085.B") for _ in range(rng.randrange(40))),) for _ in range(3000)]
+    t = spark.createDataFrame(rows, "t string")
+    clean = F.trim(F.regexp_replace("t", r"(?U)\s+", " "))
+    norm = F.regexp_replace(F.translate(F.lower("t"), "ё", "е"), r"(?<=[a-zа-я])-\s+(?=[a-zа-я])", "")
+    assert t.where((clean != tx.clean(F.col("t"))) | (norm != tx.norm(F.col("t")))).count() == 0
